@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -603,3 +604,173 @@ def sim_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     both, either = count(lambda x: C.is_ink(x.p, x.p, x.p) & C.is_ink(x.q, x.q, x.q)), count(lambda x: C.is_ink(x.p, x.p, x.p) | C.is_ink(x.q, x.q, x.q))
     score = 0.55 * alike + 0.35 * F.when(either == 0, 1.0).otherwise(both / either) + 0.1
     return pairs.select("vec_id", F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 6).alias("similarity"))
+
+
+# --- the comparison as a whole -------------------------------------------------------------------------------------------
+
+
+def _semantic(**more):
+    from .options import Options
+
+    return Options(**({"mode": "semantic", "render": "none"} | more))
+
+
+def _copies(spark: SparkSession, sf: str) -> DataFrame:
+    from .plans.compare import runs_of
+
+    e = B.copy_edges(B.documents(spark, sf))
+    return e.select("from_id", "to_id", runs_of("before").alias("before"), runs_of("after").alias("after"))
+
+
+EDGE = ("from_id", "to_id")
+
+LCS_SQL = """with docs as (select doc_id, coalesce(text, '') as text from documents),
+linked as (select lag(doc_id) over w as from_id, doc_id as to_id from docs window w as (partition by string_split(text, chr(10))[1] order by doc_id)),
+sides as (select l.from_id, l.to_id, string_split(a.text, chr(10)) as b, string_split(c.text, chr(10)) as a from linked l join docs a on a.doc_id = l.from_id join docs c on c.doc_id = l.to_id),
+m as (select from_id, to_id, len(b) as n, len(a) as k, list_prepend(list_transform(range(len(a)), lambda i: 0::bigint), list_transform(b, lambda x: list_transform(a, lambda y: (x = y)::bigint))) as rows from sides)
+select from_id, to_id, n, k, list_max(list_reduce(rows, lambda acc, hit: list_transform(range(1, len(acc) + 1), lambda j:
+  list_max(list_transform(range(1, j + 1), lambda i: greatest(acc[i], case when hit[i] = 1 then coalesce(acc[i - 1], 0) + 1 else 0 end)))))) as lcs from m"""
+
+
+@query(LCS_SQL)
+def arr_lcs_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Longest common subsequence of the lines of copies; off the flow path a page has n + k - 2 lcs changed lines."""
+    from .operators.textdiff import common_lines
+
+    def run(before: pa.Array, after: pa.Array) -> pa.Array:
+        return pa.array([common_lines(a, b) for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True)], pa.int64())
+
+    e = B.copy_edges(B.documents(spark, sf)).select("from_id", "to_id", F.split("before", "\n").alias("b"), F.split("after", "\n").alias("a"))
+    return e.select("from_id", "to_id", F.size("b").alias("n"), F.size("a").alias("k"), F.arrow_udf(run, "long")("b", "a").alias("lcs"))
+
+
+@query()
+def op_compare_semantic_only(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of documents that open alike: statuses, warnings and changed lines per page pair."""
+    from .plans.compare import compared
+
+    p = compared(_copies(spark, sf), EDGE, _semantic())
+    return p.select(*EDGE, "pair_index", "before_page", "after_page", "status", "quality", "equal", "changed_lines", F.size("changes").alias("changes"), F.size("blocks").alias("blocks"), F.concat_ws(",", "warnings").alias("warnings"))
+
+
+@query()
+def op_compare_full(spark: SparkSession, sf: str) -> DataFrame:
+    """With character rasters: alignment, changed pixels, regions and the page verdict."""
+    from .options import Options
+    from .plans.compare import compared
+
+    p = compared(_copies(spark, sf), EDGE, Options(mode="semantic"))
+    return p.select(*EDGE, "pair_index", "status", "changed_pixels", F.round("changed_ratio", 6).alias("changed_ratio"), "dx", "dy", F.round("confidence", 6).alias("confidence"), F.size("regions").alias("regions"), F.concat_ws(",", "warnings").alias("warnings"))
+
+
+@query()
+def join_sequence_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages paired in order by fingerprint, with moved pages (join_moved_pages, op_fingerprint)."""
+    from .plans.compare import compared
+
+    return compared(_copies(spark, sf), EDGE, _semantic(page_matching="sequence")).select(*EDGE, "pair_index", "before_page", "after_page", "moved", "status")
+
+
+@query()
+def op_compare_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Positioned-run changes (join_exact_text and join_positional_text in order, anti_removed, anti_added, op_matched_change)."""
+    from .plans.compare import compared, text_changes
+
+    c = text_changes(compared(_copies(spark, sf), EDGE, _semantic()), EDGE)
+    return c.select(*EDGE, "pair_index", "change_ordinal", "id", "kind", "before_text", "after_text", F.round("before_focus_bounds.x", 3).alias("before_x"), F.round("after_focus_bounds.x", 3).alias("after_x"))
+
+
+@query()
+def op_text_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Diff lines of the pages' hunks with inline marks."""
+    from .plans.compare import compared, diff_lines
+
+    return diff_lines(compared(_copies(spark, sf), EDGE, _semantic()), EDGE)
+
+
+@query()
+def op_text_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Review blocks of unequal pages with roles (op_blocks, op_block_classify, op_roles, prj_review_item)."""
+    from .plans.compare import compared, review_stream
+
+    s = review_stream(compared(_copies(spark, sf), EDGE, _semantic()), EDGE)
+    return s.select(*EDGE, "pair_index", "block_ordinal", "id", "side", "kind", "structure", F.round("confidence", 6).alias("confidence"), "before_text", "after_text", "before_role", "after_role", "changed_lines")
+
+
+@query()
+def agg_document_text_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict and totals per pair of copies: the flagship summary."""
+    from .plans.compare import compared, documents
+
+    return documents(compared(_copies(spark, sf), EDGE, _semantic()), EDGE)
+
+
+@query()
+def op_is_equal(spark: SparkSession, sf: str) -> DataFrame:
+    """The fast path of equality, which stops at the first difference."""
+    from .plans.compare import equal_edges
+
+    return equal_edges(_copies(spark, sf), EDGE, _semantic())
+
+
+@query()
+def agg_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions of changed pixels: 8-connected components with content counts."""
+    from .options import Options
+    from .plans.compare import compared, regions
+
+    return regions(compared(_copies(spark, sf), EDGE, Options()), EDGE)
+
+
+def _rendered(spark: SparkSession, sf: str, sided: bool) -> DataFrame:
+    from .plans.compare import compare, revision
+    from .render import diff_text
+
+    o = _semantic()
+
+    def run(a: pa.Array, b: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
+        rows = zip(a.to_pylist(), b.to_pylist(), before, after, strict=True)
+        return pa.array([diff_text(compare(revision(x.as_py(), B.PAGE, False), revision(y.as_py(), B.PAGE, False), o), str(i), str(j), sided) for i, j, x, y in rows], pa.string())
+
+    return _copies(spark, sf).select(*EDGE, F.arrow_udf(run, "string")("from_id", "to_id", "before", "after").alias("diff"))
+
+
+@query()
+def op_render_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _rendered(spark, sf, False)
+
+
+@query()
+def op_render_inline(spark: SparkSession, sf: str) -> DataFrame:
+    return _rendered(spark, sf, True)
+
+
+@query()
+def op_compare_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of each order against the next: identity, slot, swap, leftovers."""
+    from .functions.boxes import Box
+    from .operators.figures import Figure, compare
+
+    kind = pa.list_(pa.struct([("id", pa.string()), ("status", pa.string()), ("confidence", pa.float64())]))
+    read = lambda rows: [Figure(Box(**r["bounds"]), r["content_hash"]) for r in sorted(rows.as_py() or (), key=lambda r: r["figure_index"])]
+
+    def run(before: pa.Array, after: pa.Array) -> pa.Array:
+        return pa.array([[{"id": d.id, "status": d.status, "confidence": round(d.confidence, 6)} for d in compare(read(a), read(b))] for a, b in zip(before, after, strict=True)], kind)
+
+    f = B.figures(spark, sf).groupBy("revision_id").agg(F.collect_list(F.struct("figure_index", "bounds", "content_hash")).alias("before"))
+    after = f.select((F.col("revision_id") - 1).alias("revision_id"), F.col("before").alias("after"))
+    udf = F.arrow_udf(run, "array<struct<id:string,status:string,confidence:double>>")
+    return f.join(after, "revision_id").select("revision_id", F.explode(udf("before", "after")).alias("f")).select("revision_id", "f.*")
+
+
+@query()
+def op_document_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Change operations of every conversation's adjacent revisions (op_set_keys, op_set_anchors, agg_change_operations)."""
+    from .plans.compare import compared, runs_of
+    from .plans.sets import change_operations
+
+    e = B.turn_edges(B.table(spark, sf, "conversations"))
+    keys = ("set_id", "edge_index", "from_revision", "to_revision")
+    edges = e.select("set_id", "edge_index", F.col("from_turn").cast("string").alias("from_revision"), F.col("to_turn").cast("string").alias("to_revision"), runs_of("before").alias("before"), runs_of("after").alias("after"))
+    ops = change_operations(compared(edges, keys, _semantic()))
+    return ops.select("set_id", "op_ordinal", "id", "kind", "source", "page_index", "structure", "comparisons", "changed_lines", F.size("anchors").alias("anchors"), F.size("variants").alias("variants"))
