@@ -2,7 +2,7 @@
 
 Learning: the words of a bounded labelled sample, and their beginnings of STEMS characters, are counted by class, once
 per text. A weight is the log-odds between toxic and clean texts with an informative Dirichlet prior (each class is
-smoothed by PRIOR pseudo-words that follow the pooled frequencies). A word has its own weight if that is Z standard
+smoothed by pseudo-words, PRIOR of all words, that follow the pooled frequencies). A word has its own weight if that is Z standard
 errors away from zero, else that of its longest beginning of which this holds, so inflected words are found by their
 stems. All other words share one weight, their log-odds together, less a small DRIFT, so that a clean text's expected
 score is negative.
@@ -38,7 +38,7 @@ from .common import checkpoint, id_crc, text_bytes
 
 SAMPLE_ROWS = 20_000
 PREDICT_AT = 0.7
-PRIOR, Z, LEAST_WEIGHT, DRIFT = 20_000.0, 3.0, 1.0, 0.02
+PRIOR, Z, LEAST_WEIGHT, DRIFT = 0.02, 3.0, 1.0, 0.02
 STEMS = range(4, 10)
 E_VALUE = 0.01
 #: Words whose weights a worker remembers.
@@ -138,6 +138,10 @@ def maximal(w: np.ndarray) -> list[tuple[int, int, float]]:
 # --- learning --------------------------------------------------------------------------------------------------------
 
 
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by = (Counter(), Counter())
     for batch in batches:
@@ -160,11 +164,12 @@ def log_odds(counts: DataFrame) -> tuple[dict[bytes, float], float, dict[float,
     n = whole.agg(F.coalesce(F.sum("clean"), F.lit(0)).alias("c"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not n.c or not n.t:
         return {}, -DRIFT, {-DRIFT: 1.0}
-    prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / F.lit(float(n.c + n.t))
+    pseudo = PRIOR * (n.c + n.t)
+    prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic"))
     t, c = F.col("toxic") + F.col("a"), F.col("clean") + F.col("a")
     scored = counts.withColumn("a", prior).select(
         "word", "clean", "toxic",
-        (F.log(t / (n.t + PRIOR - t)) - F.log(c / (n.c + PRIOR - c))).alias("w"), F.sqrt(1 / t + 1 / c).alias("se"),
+        (F.log(t / (n.t + pseudo - t)) - F.log(c / (n.c + pseudo - c))).alias("w"), F.sqrt(1 / t + 1 / c).alias("se"),
     )
     # the sample is bounded, and so are its words
     kept = scored.filter(f"abs(w) > {Z} * se and abs(w) > {LEAST_WEIGHT}").orderBy("word").collect()
@@ -235,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None) ->
                 strong = [s for s in scores if lam * s > 2]
                 rows.append((y, len(tokens), max(scores, default=0.0), sum(strong), len(strong)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["y", "n", "best", "sum", "many"])
+                yield _batch(rows, y=pa.int64(), n=pa.int64(), best=pa.float64(), sum=pa.float64(), many=pa.int64())
 
     got = sample.mapInArrow(best, "y long, n long, best double, sum double, many long").orderBy("y", "n", "best", "sum").toPandas()
     clean = got[(got["y"] == 0) & (got["n"] > 0)]
@@ -247,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None) ->
         for batch in batches:
             rows = [(y, *law.features(words(text.as_py()))) for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["y", "u", "v"])
+                yield _batch(rows, y=pa.int64(), u=pa.float64(), v=pa.float64())
 
     x = sample.mapInArrow(features, "y long, u double, v double").orderBy("y", "u", "v").toPandas().to_numpy(float)
     return Model(weights, rest, lam, law.log_k, logistic(x[:, 1:], x[:, 0]))
