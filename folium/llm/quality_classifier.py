@@ -57,7 +57,8 @@ def _grow(x: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, rows: np.ndar
     """Split ``rows`` where the squared sums of the gradient grow most; note each path; leaves fill ``value``."""
     best, g = (1e-9, None), grad[rows]
     total, n = g.sum(), len(rows)
-    if depth and n >= 2 * LEAST:
+    least = max(1, min(LEAST, len(grad) // 20))
+    if depth and n >= 2 * least:
         for f, cut in enumerate(cuts):
             if not len(cut):
                 continue
@@ -66,7 +67,7 @@ def _grow(x: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, rows: np.ndar
             size = np.cumsum(np.bincount(bins, minlength=len(cut) + 1))[:-1]
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = left**2 / size + (total - left) ** 2 / (n - size) - total**2 / n
-            gain[(size < LEAST) | (n - size < LEAST)] = 0
+            gain[(size < least) | (n - size < least)] = 0
             k = int(np.argmax(gain))
             if gain[k] > best[0]:
                 best = (float(gain[k]), (f, float(cut[k])))
