@@ -42,7 +42,7 @@ from .common import text_bytes
 MU = 20.0
 FOLDS = 10
 BATCH_TOKENS, BATCH_DOCS = 1 << 20, 4096
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Codes of what stands before a word: END marks "the text ends after the word", BEGIN the begin of a text.
 END, BEGIN, CODES = 0, 1, 2
 #: Smoothed values (decimal logarithms) are kept in steps of 1 / STEPS from LOWEST on.
