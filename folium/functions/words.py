@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 
@@ -22,9 +22,14 @@ def squeeze(text: str) -> str:
     return SPACES.sub(" ", text).strip(" ")
 
 
+@lru_cache(4096)
+def _tokens(text: str) -> tuple[str, ...]:
+    return tuple(TOKENS.findall(text))
+
+
 def tokens(text: str) -> list[str]:
     """Runs of letters, digits and underscores; every other visible character alone."""
-    return TOKENS.findall(text)
+    return list(_tokens(text))
 
 
 def joined(left: str, right: str) -> str:
@@ -47,25 +52,15 @@ def variant_key(text: str) -> str:
     return squeeze(text).lower()
 
 
+_NUMBER = "\u0002"
+
+
 def role_key(text: str) -> str:
-    """Digit runs become ``#``; white space is single, lost before digits; lower case. A digit ends no pending space."""
-    out: list[str] = []
-    number = space = False
-    for c in text:
-        if "0" <= c <= "9":
-            if not number:
-                out.append("#")
-            number = True
-            continue
-        number = False
-        if SPACES.match(c):
-            space = bool(out)
-            continue
-        if space and out[-1] != " ":
-            out.append(" ")
-        space = False
-        out.append(c.lower())
-    return "".join(out).strip()
+    """Digit runs become ``#``; white space is single and moves behind numbers that follow it; lower case."""
+    t = re.sub("[0-9]+", _NUMBER, squeeze(text))
+    while " " + _NUMBER in t:
+        t = t.replace(" " + _NUMBER, _NUMBER + " ")
+    return re.sub(" +", " ", t.replace(_NUMBER, "#")).strip().lower()
 
 
 def is_list_marker(text: str) -> bool:
@@ -85,6 +80,8 @@ def codes(*sides: Sequence) -> list[np.ndarray]:
 def lcs_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of every pair of suffixes; a row at a time, as running maxima."""
     table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    if not len(b):
+        return table
     for i in range(len(a) - 1, -1, -1):
         below = table[i + 1]
         best = np.where(b == a[i], below[1:] + 1, below[:-1])
@@ -93,21 +90,37 @@ def lcs_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def lcs(a: Sequence, b: Sequence) -> int:
-    return int(lcs_table(*codes(a, b))[0, 0]) if len(a) and len(b) else 0
-
-
-def steps(a: np.ndarray, b: np.ndarray, table: np.ndarray) -> Iterator[tuple[str, int, int]]:
+    """Length of the longest common subsequence, a bit per item of ``a`` in whole numbers of any size."""
+    p, q = affixes(a, b)
+    a, b = a[p : len(a) - q], b[p : len(b) - q]
+    where: dict = {}
+    for k, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    open_ = full
+    for y in b:
+        hit = open_ & where.get(y, 0)
+        open_ = (open_ + hit | open_ - hit) & full
+    return p + q + len(a) - open_.bit_count()
+
+
+def walk(a: Sequence, b: Sequence) -> Iterator[tuple[str, int, int]]:
     """An edit walk: ``=`` as soon as the heads agree, else ``-`` where that loses nothing, else ``+``."""
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            yield "=", i, j
+    p = common_prefix(a, b)
+    yield from (("=", k, k) for k in range(p))
+    x, y = codes(a[p:], b[p:])
+    table = lcs_table(x, y)
+    n, m, i, j = len(x), len(y), 0, 0
+    x, y = x.tolist(), y.tolist()
+    while i < n or j < m:
+        if i < n and j < m and x[i] == y[j]:
+            yield "=", p + i, p + j
             i, j = i + 1, j + 1
-        elif i < len(a) and (j == len(b) or table[i + 1, j] >= table[i, j + 1]):
-            yield "-", i, j
+        elif i < n and (j == m or table[i + 1, j] >= table[i, j + 1]):
+            yield "-", p + i, p + j
             i += 1
         else:
-            yield "+", i, j
+            yield "+", p + i, p + j
             j += 1
 
 
@@ -166,7 +179,6 @@ def inline(before: str, after: str) -> tuple[list[Span], list[Span]]:
     a, b = tokens(before), tokens(after)
     if too_large(len(a), len(b)):
         return [("removed", before)], [("added", after)]
-    ca, cb = codes(a, b)
     left: list[list[str]] = []
     right: list[list[str]] = []
 
@@ -178,7 +190,7 @@ def inline(before: str, after: str) -> tuple[list[Span], list[Span]]:
         else:
             side.append([kind, token])
 
-    for op, i, j in steps(ca, cb, lcs_table(ca, cb)):
+    for op, i, j in walk(a, b):
         if op != "+":
             put(left, "equal" if op == "=" else "removed", a[i])
         if op != "-":

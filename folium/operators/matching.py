@@ -302,8 +302,7 @@ def aligned(before: Sequence[Paragraph], after: Sequence[Paragraph]) -> list[tup
     """Spans that correspond: equal texts in common order first, the best candidates in the gaps between."""
     anchors: list[tuple[int, int]] = []
     if not words.too_large(len(before), len(after), limits.MAX_ANCHOR_CELLS):
-        a, b = words.codes([x.text for x in before], [x.text for x in after])
-        anchors = [(i, j) for op, i, j in words.steps(a, b, words.lcs_table(a, b)) if op == "="]
+        anchors = [(i, j) for op, i, j in words.walk([x.text for x in before], [x.text for x in after]) if op == "="]
     out, i, j = [], 0, 0
     for to_i, to_j in [*anchors, (len(before), len(after))]:
         while i < to_i or j < to_j:

@@ -19,7 +19,8 @@ def evidence(pages: Iterable[tuple[int, Sequence[Run], float]]) -> Evidence:
     out: Evidence = defaultdict(set)
     for page, runs, height in pages:
         for r in runs:
-            role, key = boxes.edge_role(r.box, height), words.role_key(r.text)
+            role = boxes.edge_role(r.box, height)
+            key = words.role_key(r.text) if role else ""
             if role and len(key) <= limits.ROLE_LENGTH and sum(map(str.isalnum, key)) >= 4:
                 out[role, key].add(page)
     return out

@@ -89,12 +89,10 @@ def text_diff(before: Sequence[str], after: Sequence[str], context: int = 3) ->
     """The diff of two pages' lines."""
     if words.too_large(len(before), len(after)):
         return TextDiff(truncated=True)
-    a, b = words.codes(before, after)
-    table = words.lcs_table(a, b)
-    if reads_as_flow(before, after, int(table[0, 0])):
+    if reads_as_flow(before, after, common_lines(before, after)):
         return flow_diff(before, after)
     lines = []
-    for op, i, j in words.steps(a, b, table):
+    for op, i, j in words.walk(before, after):
         if op == "=":
             lines.append(Line("context", i + 1, j + 1, before[i]))
         elif op == "-":

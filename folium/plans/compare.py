@@ -204,6 +204,11 @@ def runs_of(text: str | Column) -> Column:
     return F.transform(F.split(c, "\n"), lambda t, k: F.struct(F.floor(k / 8).cast("int").alias("page_index"), t.alias("text"), box(t, k).alias("bounds")))
 
 
+def spread(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges dealt evenly: comparing costs far more than moving them, and few bytes would else end up in few tasks."""
+    return edges.repartition(4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def compared(edges: DataFrame, keys: Sequence[str], options: Options, size: tuple[float, float] = (612.0, 152.0)) -> DataFrame:
     """One row per page pair of every edge; edges carry ``keys`` and run arrays ``before`` and ``after``."""
 
@@ -217,7 +222,7 @@ def compared(edges: DataFrame, keys: Sequence[str], options: Options, size: tupl
         return pa.array(rows, kind)
 
     udf = F.arrow_udf(run, f"array<struct<{PAGE}>>")
-    return edges.select(*keys, F.explode(udf("before", "after")).alias("p")).select(*keys, "p.*")
+    return spread(edges, keys).select(*keys, F.explode(udf("before", "after")).alias("p")).select(*keys, "p.*")
 
 
 def equal_edges(edges: DataFrame, keys: Sequence[str], options: Options, size: tuple[float, float] = (612.0, 152.0)) -> DataFrame:
@@ -226,7 +231,7 @@ def equal_edges(edges: DataFrame, keys: Sequence[str], options: Options, size: t
     def run(before: pa.Array, after: pa.Array) -> pa.Array:
         return pa.array([is_equal(*(revision(x.as_py(), size, options.render == "full") for x in pair), options) for pair in zip(before, after, strict=True)], pa.bool_())
 
-    return edges.select(*keys, F.arrow_udf(run, "boolean")("before", "after").alias("equal"))
+    return spread(edges, keys).select(*keys, F.arrow_udf(run, "boolean")("before", "after").alias("equal"))
 
 
 def text_changes(pages: DataFrame, keys: Sequence[str]) -> DataFrame:

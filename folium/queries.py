@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -581,11 +582,21 @@ PIXELS = f"""{EDGES}, px as (select from_id, list_transform(string_split(before,
   len(list_filter(b, lambda v: v * 10000 < 2450000)) as before_content, len(list_filter(a, lambda v: v * 10000 < 2450000)) as after_content from px""")
 def agg_changed_pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Changed and content pixels of every edge's character rasters without a shift (prd_pixel_changed, prd_content_pixel)."""
-    e = B.next_id_edges(B.documents(spark, sf)).filter("before <> '' and after <> ''")
-    p = B.pixels(B.pixels(e, "before", "b"), "after", "a")
-    white, content = F.lit(255), lambda c: F.size(F.filter(c, lambda v: C.is_ink(v, v, v)))
-    differ = F.filter(F.arrays_zip("b", "a"), lambda z: F.abs(F.coalesce(z.b, white) - F.coalesce(z.a, white)) > 8)
-    return p.select("from_id", F.greatest(F.size("b"), F.size("a")).alias("pixels"), F.size(differ).alias("changed"), content("b").alias("before_content"), content("a").alias("after_content"))
+    from .plans.compare import spread
+
+    e = spread(B.next_id_edges(B.documents(spark, sf)).filter("before <> '' and after <> ''"), ("from_id",))
+    kind = pa.struct([(n, pa.int64()) for n in ("pixels", "changed", "before_content", "after_content")])
+
+    def run(before: pa.Array, after: pa.Array) -> pa.Array:
+        rows = []
+        for a, b in zip(before, after, strict=True):
+            x, y = B.grey(a.as_py()), B.grey(b.as_py())
+            p, q = (np.pad(v, (0, max(len(x), len(y)) - len(v)), constant_values=255) for v in (x, y))
+            rows.append({"pixels": len(p), "changed": int((np.abs(p - q) > 8).sum()), "before_content": int((x < 245).sum()), "after_content": int((y < 245).sum())})
+        return pa.array(rows, kind)
+
+    udf = F.arrow_udf(run, "struct<pixels:long,changed:long,before_content:long,after_content:long>")
+    return e.select("from_id", udf("before", "after").alias("p")).select("from_id", "p.*")
 
 
 @query("""with f as (select vec_id, list_transform(embedding, lambda v: least(greatest(floor((v::double + 0.6) * 212.5 + 0.5), 0), 255)::int) as s from embeddings),
@@ -640,7 +651,9 @@ def arr_lcs_table(spark: SparkSession, sf: str) -> DataFrame:
     def run(before: pa.Array, after: pa.Array) -> pa.Array:
         return pa.array([common_lines(a, b) for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True)], pa.int64())
 
-    e = B.copy_edges(B.documents(spark, sf)).select("from_id", "to_id", F.split("before", "\n").alias("b"), F.split("after", "\n").alias("a"))
+    from .plans.compare import spread
+
+    e = spread(B.copy_edges(B.documents(spark, sf)), EDGE).select("from_id", "to_id", F.split("before", "\n").alias("b"), F.split("after", "\n").alias("a"))
     return e.select("from_id", "to_id", F.size("b").alias("n"), F.size("a").alias("k"), F.arrow_udf(run, "long")("b", "a").alias("lcs"))
 
 
@@ -723,7 +736,7 @@ def agg_regions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rendered(spark: SparkSession, sf: str, sided: bool) -> DataFrame:
-    from .plans.compare import compare, revision
+    from .plans.compare import compare, revision, spread
     from .render import diff_text
 
     o = _semantic()
@@ -732,7 +745,7 @@ def _rendered(spark: SparkSession, sf: str, sided: bool) -> DataFrame:
         rows = zip(a.to_pylist(), b.to_pylist(), before, after, strict=True)
         return pa.array([diff_text(compare(revision(x.as_py(), B.PAGE, False), revision(y.as_py(), B.PAGE, False), o), str(i), str(j), sided) for i, j, x, y in rows], pa.string())
 
-    return _copies(spark, sf).select(*EDGE, F.arrow_udf(run, "string")("from_id", "to_id", "before", "after").alias("diff"))
+    return spread(_copies(spark, sf), EDGE).select(*EDGE, F.arrow_udf(run, "string")("from_id", "to_id", "before", "after").alias("diff"))
 
 
 @query()
@@ -750,6 +763,7 @@ def op_compare_figures(spark: SparkSession, sf: str) -> DataFrame:
     """Figures of each order against the next: identity, slot, swap, leftovers."""
     from .functions.boxes import Box
     from .operators.figures import Figure, compare
+    from .plans.compare import spread
 
     kind = pa.list_(pa.struct([("id", pa.string()), ("status", pa.string()), ("confidence", pa.float64())]))
     read = lambda rows: [Figure(Box(**r["bounds"]), r["content_hash"]) for r in sorted(rows.as_py() or (), key=lambda r: r["figure_index"])]
@@ -760,7 +774,7 @@ def op_compare_figures(spark: SparkSession, sf: str) -> DataFrame:
     f = B.figures(spark, sf).groupBy("revision_id").agg(F.collect_list(F.struct("figure_index", "bounds", "content_hash")).alias("before"))
     after = f.select((F.col("revision_id") - 1).alias("revision_id"), F.col("before").alias("after"))
     udf = F.arrow_udf(run, "array<struct<id:string,status:string,confidence:double>>")
-    return f.join(after, "revision_id").select("revision_id", F.explode(udf("before", "after")).alias("f")).select("revision_id", "f.*")
+    return spread(f.join(after, "revision_id"), ("revision_id",)).select("revision_id", F.explode(udf("before", "after")).alias("f")).select("revision_id", "f.*")
 
 
 @query()

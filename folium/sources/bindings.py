@@ -1,12 +1,13 @@
 """Plain tables as the engine's relations, so that every operator runs without a PDF decoder.
 
 text_run: a document's lines, eight a page, set at fixed places. edge: each document and the one with the next id, or
-copies that open alike, or a conversation's adjacent turns. raster: a document's characters as grey pixels, 64 a row.
+copies that open alike, or a conversation's adjacent turns. raster: a document's characters as grey pixels.
 fingerprint: an embedding as 8 x 8 grey samples. figure: an order's lines as boxes.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 
 PAGE = (612.0, 152.0)
-LINES, COLUMNS = 8, 64
+LINES = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +66,10 @@ def turn_edges(conversations: DataFrame) -> DataFrame:
     return lagged.filter("edge_index >= 0")
 
 
-def pixels(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the character raster as an array of grey values: 255 for white space, else the code point mod 200."""
-    value = lambda c: F.when(c.rlike(r"^\s$"), 255).otherwise(F.ascii(c) % 200)
-    return docs.withColumn(out, F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), value))
+def grey(text: str) -> np.ndarray:
+    """A text's characters as grey values: 255 for white space, else the code point mod 200."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.where(np.isin(points, (9, 10, 11, 12, 13, 32)), 255, points % 200)
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,9 @@ def test_lcs_against_the_definition():
         for i in range(len(a) - 1, -1, -1):
             for j in range(len(b) - 1, -1, -1):
                 table[i, j] = table[i + 1, j + 1] + 1 if a[i] == b[j] else max(table[i + 1, j], table[i, j + 1])
-        assert (words.lcs_table(*words.codes(a, b)) == table).all()
+        assert (words.lcs_table(*words.codes(a, b)) == table).all() and words.lcs(a, b) == table[0, 0]
+        ops = list(words.walk(a, b))
+        assert sum(o == "=" for o, _, _ in ops) == table[0, 0] and len(ops) == len(a) + len(b) - table[0, 0]
 
 
 def test_changed_text_is_rebuilt_from_tokens():
