@@ -26,7 +26,7 @@ def text_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
     return b.select(
         *edge, "pair_index", F.lit(0).alias("phase"), "ordinal", key.alias("op_key"), F.lit("text").alias("source"), F.col("b.kind").alias("kind"), page.alias("page_index"),
         F.col("b.structure").alias("structure"), "before_page", "after_page", F.col("b.before_text").alias("before_text"), F.col("b.after_text").alias("after_text"),
-        F.col("b.changed_lines").alias("changed_lines"), F.lit(None).cast("long").alias("changed_pixels"),
+        F.col("b.changed_lines").alias("changed_lines"), F.lit(None).cast("long").alias("changed_pixels"), F.col("b.hunks").alias("hunks"),
     )
 
 
@@ -69,7 +69,9 @@ def change_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
     The first row of a key, by edge, source and place, gives source, page and number; kinds that differ diverge; the
     first anchor of each revision counts; the latest edge's visual evidence counts; one comparison per edge.
     """
-    rows = text_operations(pages, set_col).unionByName(figure_operations(pages, set_col)).unionByName(page_operations(pages, set_col))
+    rows = text_operations(pages, set_col)
+    for more in (figure_operations, page_operations):
+        rows = rows.unionByName(more(pages, set_col), allowMissingColumns=True)
     place = F.struct("edge_index", F.when(F.col("phase") == 0, -1).otherwise(F.col("pair_index")), "phase", "pair_index", "ordinal")
     rows = rows.withColumn("place", place)
     side = lambda who, page, text, at: F.struct(F.col(who).alias("revision_id"), F.col("place").alias("place"), F.lit(at).alias("side"), state(F.col("kind")).alias("state"), F.col(page).alias("page_index"), F.col(text).alias("text"))
@@ -83,7 +85,7 @@ def change_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
     ops = rows.groupBy(set_col, "op_key").agg(
         F.min("place").alias("place"), F.min_by("source", "place").alias("source"), F.min_by("page_index", "place").alias("page_index"),
         C.merged_kind(F.col("kind")).alias("kind"), F.min_by("structure", F.when(F.col("structure").isNotNull(), F.col("place"))).alias("structure"),
-        F.count_distinct("edge_index").alias("comparisons"), F.sum("changed_lines").alias("changed_lines"), F.max_by("changed_pixels", F.when(F.col("changed_pixels").isNotNull(), F.col("place"))).alias("changed_pixels"),
+        F.count_distinct("edge_index").alias("comparisons"), F.array_sort(F.collect_list(F.struct("place", "from_revision", "to_revision", "hunks"))).alias("evidence"), F.sum("changed_lines").alias("changed_lines"), F.max_by("changed_pixels", F.when(F.col("changed_pixels").isNotNull(), F.col("place"))).alias("changed_pixels"),
     )
     number = F.row_number().over(Window.partitionBy(set_col).orderBy("place"))
     shown = F.row_number().over(Window.partitionBy(set_col).orderBy(F.col("page_index").asc_nulls_last(), "place"))

@@ -777,14 +777,39 @@ def op_compare_figures(spark: SparkSession, sf: str) -> DataFrame:
     return spread(f.join(after, "revision_id"), ("revision_id",)).select("revision_id", F.explode(udf("before", "after")).alias("f")).select("revision_id", "f.*")
 
 
-@query()
-def op_document_set(spark: SparkSession, sf: str) -> DataFrame:
-    """Change operations of every conversation's adjacent revisions (op_set_keys, op_set_anchors, agg_change_operations)."""
+def _operations(spark: SparkSession, sf: str) -> DataFrame:
     from .plans.compare import compared, runs_of
     from .plans.sets import change_operations
 
     e = B.turn_edges(B.table(spark, sf, "conversations"))
     keys = ("set_id", "edge_index", "from_revision", "to_revision")
     edges = e.select("set_id", "edge_index", F.col("from_turn").cast("string").alias("from_revision"), F.col("to_turn").cast("string").alias("to_revision"), runs_of("before").alias("before"), runs_of("after").alias("after"))
-    ops = change_operations(compared(edges, keys, _semantic()))
-    return ops.select("set_id", "op_ordinal", "id", "kind", "source", "page_index", "structure", "comparisons", "changed_lines", F.size("anchors").alias("anchors"), F.size("variants").alias("variants"))
+    return change_operations(compared(edges, keys, _semantic()))
+
+
+@query()
+def op_document_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Change operations of every conversation's adjacent revisions (op_set_keys, op_set_anchors, agg_change_operations)."""
+    return _operations(spark, sf).select("set_id", "op_ordinal", "id", "kind", "source", "page_index", "structure", "comparisons", "changed_lines", F.size("anchors").alias("anchors"), F.size("variants").alias("variants"))
+
+
+@query()
+def op_render_set_inline(spark: SparkSession, sf: str) -> DataFrame:
+    """Every set's change operations as a revision-labelled diff."""
+    from .render import set_text
+
+    def run(ops: pa.Array) -> pa.Array:
+        out = []
+        for rows in ops:
+            changes = []
+            for o in rows.as_py() or ():
+                first = {e["place"]["edge_index"]: e for e in reversed(o["evidence"])}
+                diffs = [{"from": e["from_revision"], "to": e["to_revision"], "hunks": e["hunks"]} for _, e in sorted(first.items())]
+                changes.append(o | {"comparisons": diffs, "visual": None if o["changed_pixels"] is None else {"changed_pixels": o["changed_pixels"], "changed_ratio": 0.0}})
+            who = {a["revision_id"] for c in changes for a in c["anchors"]}
+            out.append(set_text([(w, f"turn {w}") for w in sorted(who)], changes))
+        return pa.array(out, pa.string())
+
+    fields = ("op_ordinal", "id", "kind", "source", "page_index", "anchors", "evidence", "changed_pixels")
+    sets = _operations(spark, sf).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("ops"))
+    return sets.select("set_id", F.arrow_udf(run, "string")("ops").alias("diff"))
