@@ -54,11 +54,3 @@ def byte_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         (F.col("rank") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
-
-def oracle(shards: int = SHARDS) -> str:
-    """DuckDB SQL for the same rows, where ids are distinct: its crc32 is missing, so the checksum column is left to tests."""
-    return f"""
-    with sized as (select doc_id, strlen(coalesce(text, '')) + 1 as size from documents),
-    summed as (select *, sum(size) over (order by doc_id) as upto, sum(size) over () as total from sized),
-    placed as (select *, cast(least({shards} - 1, ((2 * upto - size) * {shards}) // (2 * total)) as int) as shard from summed)
-    select doc_id, size, shard, row_number() over (partition by shard order by doc_id) - 1 as slot from placed"""
