@@ -813,3 +813,53 @@ def op_render_set_inline(spark: SparkSession, sf: str) -> DataFrame:
     fields = ("op_ordinal", "id", "kind", "source", "page_index", "anchors", "evidence", "changed_pixels")
     sets = _operations(spark, sf).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("ops"))
     return sets.select("set_id", F.arrow_udf(run, "string")("ops").alias("diff"))
+
+
+TURN_TOKENS = TURNS + rf""", t as (select set_id, edge_index, before = after as same, {TOK.format('before')} as b, {TOK.format('after')} as a from edges)"""
+
+
+@query(f"""with {TURN_TOKENS} select set_id, edge_index,
+  list_reduce(list_prepend('0', a), lambda n, x: case when b[n::int + 1] = x then (n::int + 1)::varchar else n end)::int = len(b) as subsequence from t""")
+def prd_token_subsequence(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each turn's tokens all stand in the next turn, in order."""
+    e = B.turn_edges(B.table(spark, sf, "conversations"))
+    return e.select("set_id", "edge_index", C.is_subsequence(C.tokens(F.col("before")), C.tokens(F.col("after"))).alias("subsequence"))
+
+
+@query(f"""with {TURN_TOKENS}, s as (select *, greatest(len(a), len(b)) as most, (len(a) + 1) * (len(b) + 1) > 4096 as large from t),
+m as (select *, case when large then null else list_prepend(list_transform(range(len(a)), lambda i: 0::bigint), list_transform(b, lambda x: list_transform(a, lambda y: (x = y)::bigint))) end as rows from s)
+select set_id, edge_index, round(case when same or most = 0 then 1.0 when large then
+  coalesce(list_min(list_filter(range(1, most + 1), lambda i: a[i] is distinct from b[i])), most + 1)::double - 1
+  when len(a) = 0 or len(b) = 0 then 0.0 else
+  list_max(list_reduce(rows, lambda acc, hit: list_transform(range(1, len(acc) + 1), lambda j:
+  list_max(list_transform(range(1, j + 1), lambda i: greatest(acc[i], case when hit[i] = 1 then coalesce(acc[i - 1], 0) + 1 else 0 end))))))::double end
+  / case when same or most = 0 then 1 else most end, 6) as similarity from m""")
+def sim_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Token similarity of adjacent turns: common subsequence, or over the size limit the common beginning."""
+    from .functions import words
+    from .plans.compare import spread
+
+    def run(before: pa.Array, after: pa.Array) -> pa.Array:
+        return pa.array([words.similarity(a, b) for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True)], pa.float64())
+
+    e = spread(B.turn_edges(B.table(spark, sf, "conversations")), ("set_id", "edge_index"))
+    return e.select("set_id", "edge_index", F.round(F.arrow_udf(run, "double")("before", "after"), 6).alias("similarity"))
+
+
+@query()
+def str_inline_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Adjacent turns' inline diffs, and the text that only one side has (str_changed_span)."""
+    from .functions import words
+    from .plans.compare import spread
+
+    kind = "struct<before:string,after:string,removed:string,added:string,kind:string>"
+
+    def run(before: pa.Array, after: pa.Array) -> pa.Array:
+        rows = []
+        for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True):
+            old, new = words.inline(a, b)
+            rows.append({"before": words.marked_line(a, old), "after": words.marked_line(b, new), "removed": words.changed_text(a, b, "removed"), "added": words.changed_text(a, b, "added"), "kind": words.edit_kind(a, b)})
+        return pa.array(rows, pa.struct([(n, pa.string()) for n in ("before", "after", "removed", "added", "kind")]))
+
+    e = spread(B.turn_edges(B.table(spark, sf, "conversations")), ("set_id", "edge_index"))
+    return e.select("set_id", "edge_index", F.arrow_udf(run, kind)("before", "after").alias("d")).select("set_id", "edge_index", "d.*")
