@@ -22,7 +22,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, free_name
 from .ranks import ranked, salts_for
 
 BLOCK = 16
@@ -138,8 +138,9 @@ def _slot(plan: list[dict], k: int, j: int) -> int:
 
 def in_mixed_order(docs: DataFrame, targets: dict[str | None, float] | None = None) -> DataFrame:
     """All rows of ``docs`` with all their columns, dealt by ranges of the mixed position and sorted by it."""
-    spots = mixed(docs, targets).select(F.col("doc_id").alias("__id"), F.col("position").alias("__at"))
-    once = spots.groupBy("__id").agg(F.min("__at").alias("__at"))  # rows that share an id stand together
-    placed = docs.join(once, F.col("doc_id").eqNullSafe(F.col("__id")))
+    key, at = free_name(docs, "mixed_id"), free_name(docs, "mixed_at")
+    spots = mixed(docs, targets).select(F.col("doc_id").alias(key), F.col("position").alias(at))
+    once = spots.groupBy(key).agg(F.min(at).alias(at))  # rows that share an id stand together
+    placed = docs.join(once, F.col("doc_id").eqNullSafe(F.col(key)))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(parts, "__at").sortWithinPartitions("__at").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return placed.repartitionByRange(parts, at).sortWithinPartitions(at).select(*[F.col(f"`{c}`") for c in docs.columns])

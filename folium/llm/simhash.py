@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, text_bytes
+from .common import checkpoint, free_name, text_bytes
 
 RADIUS = 3
 SHINGLE = 3
@@ -226,8 +226,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-copies: of each component the row with the smallest doc_id, one if ids repeat."""
-    found = near_duplicates(docs).filter("doc_id <=> component_id").groupBy("doc_id", "component_id").count()
-    keep = checkpoint(found.groupBy("doc_id").agg(F.sum("count").alias("__n")).withColumnRenamed("doc_id", "__id"))
-    kept = docs.join(keep.filter("__n = 1"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    again = docs.join(keep.filter("__n > 1"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.unionByName(again.dropDuplicates(["doc_id"])) if not keep.filter("__n > 1").isEmpty() else kept
+    key, n = free_name(docs, "kept_id"), free_name(docs, "kept_rows")
+    found = near_duplicates(docs).filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias(n))
+    keep = checkpoint(found.withColumnRenamed("doc_id", key))
+    same = F.col("doc_id").eqNullSafe(F.col(key))
+    kept = docs.join(keep.filter(F.col(n) == 1), same, "left_semi")
+    if keep.filter(F.col(n) > 1).isEmpty():
+        return kept
+    return kept.unionByName(docs.join(keep.filter(F.col(n) > 1), same, "left_semi").dropDuplicates(["doc_id"]))
