@@ -11,7 +11,7 @@ Scoring: a linear scan (Ruzzo and Tompa) over the word weights finds all maximal
 Under the clean words' distribution the best segment of n words follows an extreme-value law with parameters lambda
 (the root of the mean of exp(lambda * weight) = 1) and K (from the clean sample's best segments). A segment's excess is
 lambda * score - ln(K n), and the passages with an expected count below E_VALUE are reported. The text's features, the
-best excess and the summed excess of significant passages, are turned into a probability by a ridge logistic.
+logarithms of the best excess and of the summed excess of significant passages, are turned into a probability by a ridge logistic.
 
 At most SAMPLE_ROWS labelled rows are learnt from (smallest hashes of ids; rows that begin alike count once, so a
 group of copies does not teach its words). Every row is scored. Labels, language, source and id are no inputs.
@@ -43,7 +43,7 @@ STEMS = range(4, 10)
 E_VALUE = 0.01
 #: Words whose weights a worker remembers.
 REMEMBER = 500_000
-RIDGE = 0.01
+RIDGE = 0.1
 
 _PLAIN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -107,7 +107,7 @@ class Model:
         scores = [s for _, _, s in self.segments(tokens)]
         best = self.excess(max(scores), len(tokens)) if scores else 0.0
         strong = sum(x for s in scores if (x := self.excess(s, len(tokens))) > -math.log(E_VALUE))
-        return max(best, 0.0), math.log1p(strong)
+        return math.log1p(max(best, 0.0)), math.log1p(strong)
 
     def score(self, tokens: list[bytes]) -> float:
         a, b, c = self.logistic
@@ -202,14 +202,25 @@ def karlin_lambda(share: dict[float, float]) -> float:
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton's method; the intercept is free."""
+    """Ridge logistic regression by Newton's method; a step is halved until the penalised loss falls.
+
+    Features may separate the classes, so the intercept is penalised too, if less.
+    """
     a = np.hstack([np.ones((len(x), 1)), x])
-    w, ridge = np.zeros(a.shape[1]), RIDGE * np.diag([1e-3, 1, 1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+    w, ridge = np.zeros(a.shape[1]), RIDGE * np.array([0.1, *[1.0] * x.shape[1]])
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * ridge @ w**2)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return tuple(float(v) for v in w)
 

@@ -57,3 +57,13 @@ def test_stems_and_lambda():
     assert tx.stems("réeuxpa".encode())[:2] == ["réeu*".encode(), "réeux*".encode()]
     share = {-1.0: 0.75, 1.0: 0.25}
     assert abs(tx.karlin_lambda(share) - np.log(3)) < 1e-6
+
+
+def test_logistic_on_separated_classes():
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.random((9000, 2)) * 0.05, 3 + rng.random((1000, 2))])
+    x[:8000] = 0
+    y = np.r_[np.zeros(9000), np.ones(1000)]
+    a, b, c = tx.logistic(x, y)
+    p = 1 / (1 + np.exp(-(a + x @ [b, c])))
+    assert abs(a) < 50 and p[:9000].max() < 0.1 and p[9000:].min() > 0.9
