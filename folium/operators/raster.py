@@ -78,12 +78,13 @@ def changed(a: np.ndarray, b: np.ndarray, tolerance: int) -> np.ndarray:
 def align(before: np.ndarray, after: np.ndarray, width: int, height: int, o: Options) -> Alignment:
     """The shift with the fewest sampled mismatches; ties go to the smaller shift, then dy, then dx."""
     s, step = o.max_shift, o.sample_step
-    old = on_canvas(before, width, height)[::step, ::step]
+    old = on_canvas(before, width, height)[::step, ::step].astype(np.int16)
+    wide = on_canvas(after, width + 2 * s, height + 2 * s, -s, -s)  # white around: every shift is a view
     scores = {}
     for dy in range(-s, s + 1):
         for dx in range(-s, s + 1):
-            new = on_canvas(after, width, height, dx, dy)[::step, ::step]
-            scores[dx, dy] = int(changed(old, new, o.channel_tolerance).sum())
+            new = wide[s + dy : s + dy + height : step, s + dx : s + dx + width : step]
+            scores[dx, dy] = int((np.abs(old - new) > o.channel_tolerance).any(-1).sum())
     (dx, dy), best = min(scores.items(), key=lambda x: (x[1], abs(x[0][0]) + abs(x[0][1]), x[0][1], x[0][0]))
     worst = max(scores.values())
     return Alignment(dx, dy, 1.0 if not old.size or not worst else float(np.clip(1 - best / worst, 0, 1)))
