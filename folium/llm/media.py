@@ -11,7 +11,7 @@ fixed strides and the whole scan is decoded by array operations; other scans are
 
 Writing. The format's unit is the coefficient: payload byte b becomes the AC coefficient of eight bits whose extra bits
 are b (b from 128 on, b - 255 below) or the DC coefficient b - 128, 64 bytes a block, luma blocks first, in 4:2:0.
-Six scans kinds write them: DC without its last bit, two AC bands without theirs, then the last bits of DC and AC.
+Six kinds of scans write them: DC without its last bit, two AC bands without theirs, then the last bits of DC and AC.
 Huffman tables are chosen so that all strides are fixed. Blocks beyond the payload hold byte 32; a comment has its length.
 
 Edge cases: null and empty texts are 192 spaces; equal texts give equal files; the largest payload has about 6 GB; an
@@ -82,7 +82,7 @@ class Table:
         """The number that each pattern of ``stride`` bits means; out of range: no code."""
         return _values(tuple(self.symbols), tuple(self.lengths), stride)
 
-    def _values(self, stride: int) -> np.ndarray:
+    def _pattern_values(self, stride: int) -> np.ndarray:
         out = np.full(1 << stride, 1 << 20, np.int32)
         for n, c, s in zip(self.lengths, self.codes(), self.symbols, strict=True):
             extra = np.arange(1 << s)
@@ -92,7 +92,7 @@ class Table:
 
 @lru_cache(64)
 def _values(symbols: tuple[int, ...], lengths: tuple[int, ...], stride: int) -> np.ndarray:
-    return Table(list(symbols), list(lengths))._values(stride)
+    return Table(list(symbols), list(lengths))._pattern_values(stride)
 
 
 DC_TABLE = Table([7, 6, 5, 4, 3, 2, 1, 0], [1, 2, 3, 4, 5, 6, 7, 8])
@@ -301,7 +301,7 @@ def _read_scan(image: Image, tables: dict[int, Table], head: bytes, data: bytes,
         if first == 0:
             _dc(chosen, tables, order, rows, high, low, reader)
         else:
-            _ac(chosen[0][0].blocks[order[0][rows.start : rows.stop, 0]], chosen[0][0].blocks, order[0][rows.start : rows.stop, 0], tables.get(16 | chosen[0][1] & 15), first, last, high, low, reader)
+            _ac(chosen[0][0].blocks, order[0][rows.start : rows.stop, 0], tables[16 | chosen[0][1] & 15], first, last, high, low, reader)
 
 
 def _next_restart(data: bytes, at: int) -> int:
@@ -373,7 +373,7 @@ def _dc(chosen: list, tables: dict[int, Table], order: list[np.ndarray], rows: r
                     p.blocks[block, 0] = before[k] << low
 
 
-def _ac(_: np.ndarray, blocks: np.ndarray, rows: np.ndarray, table: Table, first: int, last: int, high: int, low: int, reader: _Bits) -> None:
+def _ac(blocks: np.ndarray, rows: np.ndarray, table: Table, first: int, last: int, high: int, low: int, reader: _Bits) -> None:
     codes, ended, unit = table.by_code(), 0, 1 << low
     for row in rows:
         b, k = blocks[row], first
