@@ -38,7 +38,7 @@ from .common import checkpoint, id_crc, text_bytes
 
 SAMPLE_ROWS = 20_000
 PREDICT_AT = 0.7
-PRIOR, Z, LEAST_WEIGHT, DRIFT = 0.02, 3.0, 1.0, 0.02
+PRIOR, Z, LEAST_WEIGHT, DRIFT = 0.02, 2.5, 1.0, 0.02
 STEMS = range(4, 10)
 E_VALUE = 0.01
 #: Words whose weights a worker remembers.
