@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold go; the model learns from the labels of documents still here."""
-    return keep_scored(docs, table(spark, sf_dir, "labels"))
+    """Documents that score below the threshold go; the model learns from all labelled documents, those gone included."""
+    return keep_scored(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,9 +177,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score.withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a score of PREDICT_AT or more, with all their columns."""
-    model = fit(docs, labels, train=id_crc() % 5 != 0)
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` with a score of PREDICT_AT or more, with all their columns.
+
+    The model learns from the labelled rows of ``learn_from``, by default ``docs``; after a filter of quality few of
+    label 0 may be left there.
+    """
+    model = fit(docs if learn_from is None else learn_from, labels, train=id_crc() % 5 != 0)
     s = free_name(docs, "counts")
     once = docs.withColumn(s, stats(text_bytes(), once=True))
     flat = once.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{s}`.*")).select("row", *features())
