@@ -213,24 +213,37 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
 
 
+def _rooted(distinct: DataFrame, *columns: str) -> DataFrame:
+    """The distinct fingerprints of column fp with ``columns`` and the root of their component."""
+    linked = components(near_links(distinct, distinct.count()))
+    return distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", *columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that it reaches)."""
     prints = checkpoint(docs.select("doc_id", fingerprints(text_bytes()).alias("fp")))
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = components(near_links(distinct, distinct.count()))
-    roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = _rooted(checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first"))), "first")
     names = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     table = roots.join(names, "root").select("fp", "component_id")
     return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-copies: of each component the row with the smallest doc_id, one if ids repeat."""
-    key, n = free_name(docs, "kept_id"), free_name(docs, "kept_rows")
-    found = near_duplicates(docs).filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias(n))
-    keep = checkpoint(found.withColumnRenamed("doc_id", key))
-    same = F.col("doc_id").eqNullSafe(F.col(key))
-    kept = docs.join(keep.filter(F.col(n) == 1), same, "left_semi")
-    if keep.filter(F.col(n) > 1).isEmpty():
-        return kept
-    return kept.unionByName(docs.join(keep.filter(F.col(n) > 1), same, "left_semi").dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` without near-copies: of each component the row with the smallest doc_id, exactly one.
+
+    Ids may be null (they come last) or repeat: a row is known by its id and the hash of its other columns too.
+    """
+    key, row, n, own = (free_name(docs, stem) for stem in ("kept_id", "kept_hash", "kept_rows", "row_hash"))
+    cells = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    whole = F.xxhash64(*cells, *[c.isNull() for c in cells])  # a null alone leaves the hash as it is
+    prints = docs.select("doc_id", whole.alias("h"), fingerprints(text_bytes()).alias("fp")).groupBy("fp", "doc_id", "h").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "fp", "n")
+    roots = _rooted(checkpoint(prints.groupBy("fp").agg(F.min(first).alias("first"))), "first")
+    found = roots.groupBy("root").agg(F.min("first").alias("f"))
+    keep = checkpoint(found.select(F.col("f.doc_id").alias(key), F.col("f.h").alias(row), F.col("f.n").alias(n)))
+    known = docs.withColumn(own, whole)
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(row))
+    kept = known.join(keep.filter(F.col(n) == 1), same, "left_semi")
+    if not keep.filter(F.col(n) > 1).isEmpty():
+        kept = kept.unionByName(known.join(keep.filter(F.col(n) > 1), same, "left_semi").dropDuplicates(["doc_id", own]))
+    return kept.drop(own)
