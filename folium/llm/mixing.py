@@ -7,8 +7,8 @@ sum to 1 this meets all deadlines, and after any number of slots a source is les
 Weights are exact fractions, so this holds for the target weights over any length. When a source runs out, the others
 share its weight: windows are those of the fluid schedule in which that happens. Slots are simulated in ranges of
 RANGE, each a task of its own, since the state at a range's start follows from the windows around it. No row is dropped
-or repeated: the operator decides the order. Sources are those of the table (at most GRID, else an error), their
-counts the only thing that reaches the driver.
+or repeated: the operator decides the order. Sources are those of the table, in any number; their names and
+counts are the only thing that reaches the driver.
 
 Edge cases: a null source is a source of its own; a source without a target weight gets the smallest given one; rows
 that are equal keep one position each; an empty table gives an empty result; clashing columns are left as they are.
@@ -227,9 +227,7 @@ def mixed(docs: DataFrame, targets: dict[str | None, float] | None = None, block
     """
     spark = docs.sparkSession
     rows = checkpoint(docs.select("doc_id", F.col(source_col).alias("source"), F.xxhash64("doc_id").alias("h")))
-    by = {r[0]: r[1] for r in rows.groupBy("source").count().limit(GRID + 1).collect()}
-    if len(by) > GRID:
-        raise ValueError(f"more than {GRID} sources")
+    by = {r[0]: r[1] for r in rows.groupBy("source").count().collect()}
     names = sorted(by, key=lambda s: (s is not None, s))
     if targets is None:
         weights = tempered(by)

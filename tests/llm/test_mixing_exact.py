@@ -23,3 +23,10 @@ def test_ranges_start_where_the_one_before_ends():
         assert plan.done(slot) == done and j == done[k] and release <= slot < deadline
         done[k] += 1
     assert done == plan.n and [*plan.run(100, 300), *plan.run(300, 900)] == list(plan.run(100, 829))
+
+
+def test_more_than_a_thousand_sources(spark):
+    d = spark.range(4000).selectExpr("id as doc_id", "concat('host', least(id % 1600, 1500)) as source")
+    got = mixed(d, block=1).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(4000)) and len({r.doc_id for r in got}) == 4000
+    assert len({r.source for r in got}) == 1501 and all(r.release <= r.slot < r.deadline for r in got)
