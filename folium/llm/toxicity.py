@@ -236,8 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None) ->
         share = size.get(1, 0) / max(sum(size.values()), 1)
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model({}, -DRIFT, logistic=(math.log(share / (1 - share)), 0.0, 0.0))
-    # of the texts of a class that begin alike one teaches words
-    once = sample.groupBy("y", F.xxhash64(F.substring("b", 1, 64))).agg(F.min_by("b", F.struct(F.length("b"), F.xxhash64("b"))).alias("b"))
+    once = sample.distinct()  # of equal texts of a class one teaches words; distinct texts all do, however alike they begin
     weights, rest, share = log_odds(once.select("y", "b").mapInArrow(_count, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     lam = karlin_lambda(share)
     first = Model(weights, rest, lam)
