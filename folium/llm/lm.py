@@ -1,19 +1,25 @@
 """Language-model scores from a bigram trie in Elias-Fano form.
 
 Model: P(w | v) = (c(v, w) + MU * P1(w)) / (c(v) + MU) with P1(w) = c(w) / (N + 1), and 1 / (N + 1) for the class of
-unknown words; it sums to one. A text is read as begin, its words, end.
+unknown words; it sums to one. A text is its words and an end; the word before a text's first is an end.
 
 Because that numerator needs only what is known about w and the denominator only what is known about v, the trie
-is reversed (word, then what stands before it) and cut into shards by the word's hash: a shard holds every bigram of its
-words, and a text's log-probability is a sum of what its shards say. The number of shards follows the number of
-tokens, so a shard's memory stays bounded while the model grows with the corpus; nothing of it is broadcast.
-
-One pass packs the occurrences of a batch of texts per shard: each distinct word and bigram of the batch once, with the
-texts in which it stands, so a frequent word costs one entry per batch and text. A shard first counts those of the
-training texts and writes its trie as a memory-mapped file: level 1 the words, pointers into level 2, level 2 what stands
-before, all three as Elias-Fano sequences, with 16-bit codes of the smoothed values. Then it answers all batches:
-find the word, take its range from the pointers, find the successor of the context within that range. Sums per batch
-and text go back and are added. Words are known by 64-bit hashes, contexts below a word by 32 bits of theirs.
+is reversed (word, then what stands before it) and cut into shards by the word's hash. The number of shards follows the
+number of tokens, so a shard's memory stays bounded while the model grows with the corpus; no level of it is broadcast.
+A heavy word (a quarter of a shard's tokens or more) is cut further, by what stands before it; its count, which no
+single shard then knows, comes from the first pass, which counts words. At most HEAVY_WORDS words are treated so.
+
+1. Words are counted, for N, V and the heavy words.
+2. Batches of texts are packed: each distinct pair of a batch once, for its shard, with its training count. A batch's
+   token numbers travel along with one of its pieces.
+3. A shard adds the counts and writes its trie as a memory-mapped file: level 1 the words, pointers into level 2,
+   level 2 what stands before, all three as Elias-Fano sequences, with 16-bit codes of the smoothed numerators. Then it
+   answers each piece: find the word, take its range from the pointers, find the successor of the context within that
+   range; a code for each pair and a count for each word go back.
+4. A batch lays out its pairs as in step 2, reads the answers off and adds them up by text.
+
+What is shuffled is in proportion to the tokens: a piece exists only where a batch has pairs of a shard, and nothing is
+sent per text and shard. Words are known by 64-bit hashes, contexts below a word by 32 bits of theirs.
 
 Edge cases: a null or empty text is just the end token; without training texts all words are unknown and base_score
 uses N = V = 0; repeated rows are scored, and counted, as often as they occur; a null id counts as empty text for its
@@ -23,11 +29,11 @@ fold; one very long text may fill a batch by itself; an empty table gives an emp
 from __future__ import annotations
 
 import itertools
-import math
 import os
 import tempfile
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,14 +43,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import checkpoint, text_bytes
 
 MU = 20.0
 FOLDS = 10
-BATCH_TOKENS, BATCH_DOCS = 1 << 20, 4096
-SHARD_TOKENS = 2_000_000
-#: Codes of what stands before a word: END marks "the text ends after the word", BEGIN the begin of a text.
-END, BEGIN, CODES = 0, 1, 2
+BATCH_TOKENS = 1 << 22
+SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 32
+#: The most words that are cut over shards; only a word with more than the HEAVY_WORDS-th part of all tokens is heavy.
+HEAVY_WORDS = 200_000
+#: Distinct words that a worker counts before it hands them on.
+COUNT_WORDS = 1 << 20
+END = b"\n"  # no word holds it
 #: Smoothed values (decimal logarithms) are kept in steps of 1 / STEPS from LOWEST on.
 STEPS, LOWEST = 2047.0, -16.0
 
@@ -136,7 +145,7 @@ class Trie:
         self.at = 0
         self.words, self.pointers, self.pairs = self._sequence(), self._sequence(), self._sequence()
         self.counts = self._take(self.words.n)
-        self.unseen, self.under = (self._take(-(-self.words.n // 4)).view(np.uint16)[: self.words.n] for _ in range(2))
+        self.unseen = self._take(-(-self.words.n // 4)).view(np.uint16)[: self.words.n]
         self.seen = self._take(-(-self.pairs.n // 4)).view(np.uint16)[: self.pairs.n]
 
     def _take(self, n: int) -> np.ndarray:
@@ -148,12 +157,11 @@ class Trie:
         return EliasFano(n, bits, self._take(low), self._take(high), self._take(high + 1))
 
     @staticmethod
-    def write(path: str, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int, ends: int) -> None:
+    def write(path: str, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int) -> None:
         """words: sorted hashes; pairs: sorted (rank << 32 | code); counts are those of training texts, all above 0."""
         pointers = np.searchsorted(pairs, np.arange(len(words) + 1, dtype=np.uint64) << np.uint64(32))
         first = counts.astype(np.float64) / (total + 1)
-        rank, is_end = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)) == END
-        smooth = np.where(is_end, max(ends, 1) / (total + 1), first[rank] if len(rank) else 0.0)
+        smooth = first[(pairs >> np.uint64(32)).astype(np.int64)]
         pad = lambda x: np.concatenate([x, np.zeros(-len(x) % 4, np.uint16)]).view(np.uint64)
         with open(path, "wb") as f:
             for sequence in (EliasFano.of(words, 1 << 64), EliasFano.of(pointers, len(pairs) + 1), EliasFano.of(pairs, max(len(words), 1) << 32)):
@@ -161,7 +169,6 @@ class Trie:
                     f.write(part.tobytes())
             f.write(counts.astype(np.uint64).tobytes())
             f.write(pad(code(np.log10(MU * first))).tobytes())
-            f.write(pad(code(np.log10(counts + MU))).tobytes())
             f.write(pad(code(np.log10(pair_counts + MU * smooth))).tobytes())
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,87 +188,157 @@ class Trie:
         return place, inside & (self.pairs.access(place) == key)
 
 
+# --- counting words ------------------------------------------------------------------------------------------------
+
+
+def _arrow(**columns: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns.values()], names=list(columns))
+
+
+def _count(limit: int):
+    """(word's hash, count in training texts, count) of each distinct word of a partition, ends included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, taught = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            words = np.fromiter(map(xxhash.xxh64_intdigest, every), np.uint64, len(every)).view(np.int64)
+            return _arrow(word=(words, pa.int64()), n=([taught[w] for w in every], pa.int64()), every=(list(every.values()), pa.int64()))
+
+        for batch in batches:
+            for train, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                found = text.as_py().lower().split()
+                found.append(END)
+                every.update(found)
+                if train:
+                    taught.update(found)
+                if len(every) >= limit:
+                    yield counted()
+                    every.clear()
+                    taught.clear()
+        if every:
+            yield counted()
+
+    return run
+
+
+def _sums(heavy: int):
+    """Of word counts: a row of sums a partition, without a word, and the words of more than ``heavy`` tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(3, np.int64)
+        for batch in batches:
+            word, n, every = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            total += [n.sum(), every.sum(), (n > 0).sum()]
+            many = n > heavy
+            if many.any():
+                zero = np.zeros(int(many.sum()), np.int64)
+                yield _arrow(word=(word[many], pa.int64()), n=(n[many], pa.int64()), every=(zero, pa.int64()), words=(zero, pa.int64()))
+        yield _arrow(word=([None], pa.int64()), n=(total[:1], pa.int64()), every=(total[1:2], pa.int64()), words=(total[2:], pa.int64()))
+
+    return run
+
+
 # --- packing the texts ---------------------------------------------------------------------------------------------
 
 
-def _pack_batch(batch: int, docs: list[tuple], tokens: list[list[bytes]], shards: int) -> pa.RecordBatch:
-    """One row per shard: that shard's words with their contexts and texts."""
-    index: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    cur = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(tokens)), np.int64, int(sizes.sum()))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
-    order = np.argsort(h)
-    rank = np.empty(len(h), np.int64)
-    rank[order] = np.arange(len(h))
-    h = h[order]
-    cur = rank[cur] if len(cur) else cur
-    low = np.maximum(h & np.uint64(0xFFFFFFFF), np.uint64(CODES))
-    doc = np.repeat(np.arange(len(docs)), sizes)
-    first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    last = (np.cumsum(sizes) - 1)[sizes > 0]
-    before = np.empty(len(cur), np.uint64)
-    before[1:] = low[cur[:-1]]
-    before[first] = BEGIN
-    word, context, owner = np.concatenate([cur, cur[last]]), np.concatenate([before, np.full(len(last), END, np.uint64)]), np.concatenate([doc, doc[last]])
-    if len(h) <= 1 << 20 and len(docs) <= 1 << 12:
-        key = np.sort((word.astype(np.uint64) << np.uint64(44)) | (context << np.uint64(12)) | owner.astype(np.uint64))
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        many = np.diff(np.r_[new, len(key)])
-        key = key[new]
-        word, context, owner = (key >> np.uint64(44)).astype(np.int64), (key >> np.uint64(12)) & np.uint64(0xFFFFFFFF), (key & np.uint64(4095)).astype(np.int64)
-    else:
-        by = np.lexsort((owner, context, word))
-        word, context, owner = word[by], context[by], owner[by]
-        new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (owner[1:] != owner[:-1])])
-        many = np.diff(np.r_[new, len(word)])
-        word, context, owner = word[new], context[new], owner[new]
-    starts = np.searchsorted(h, np.array([-(-(s << 64) // shards) for s in range(shards)], np.uint64)) if len(h) else np.zeros(shards, np.int64)
-    bounds = np.r_[starts, len(h)]
-    cuts = np.searchsorted(word, bounds)
-    train = np.array([d[1] for d in docs], np.uint8)
-    meta = np.array([(-1 if d[0] is None else d[0], d[0] is None, d[1], n) for d, n in zip(docs, sizes.tolist(), strict=True)], np.int64).tobytes()
+@dataclass(frozen=True)
+class Cut:
+    """How pairs are dealt to shards: heavy words' sorted hashes, their counts and over how many cells each is spread."""
+
+    shards: int
+    heavy: np.ndarray
+    counts: np.ndarray
+    cells: np.ndarray
+
+    def shard(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The shard of each pair of hashes."""
+        cell = np.zeros(len(words), np.uint64)
+        if len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, words), len(self.heavy) - 1)
+            hit = np.flatnonzero(self.heavy[at] == words)
+            cell[hit] = (contexts[hit] >> np.uint64(32)) % self.cells[at[hit]]
+        x = words + cell * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (((x >> np.uint64(32)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
+
+
+class Layout:
+    """The distinct pairs of a batch, by shard, then word; of token numbers (0: an end) and the hash of each number."""
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray, cut: Cut):
+        self.ids, self.before = ids, np.r_[0, ids[:-1]]
+        pairs, self.pair = np.unique(ids * len(hashes) + self.before, return_inverse=True)
+        word, context = pairs // len(hashes), pairs % len(hashes)
+        shard = cut.shard(hashes[word], hashes[context])
+        order = np.argsort(shard, kind="stable")
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        self.word, self.context, self.shard = word[order], context[order], shard[order]
+        #: where a word begins within its shard
+        self.first = np.flatnonzero(np.r_[True, (self.word[1:] != self.word[:-1]) | (self.shard[1:] != self.shard[:-1])])
+
+
+def _squeeze(ids: np.ndarray) -> bytes:
+    return pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _pack_batch(batch: int, docs: list[tuple], ids: np.ndarray, index: dict[bytes, int], cut: Cut) -> pa.RecordBatch:
+    """One row per shard that has pairs of the batch; the first of them carries the batch itself."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+    ends = ids == 0
+    train = np.array([d[1] for d in docs], np.int64)[np.cumsum(ends) - ends]
+    lay = Layout(ids, hashes, cut)
+    many = np.empty(len(lay.word), np.int64)
+    many[lay.place] = np.bincount(lay.pair, train, len(lay.word))
+    starts = np.flatnonzero(np.r_[True, lay.shard[1:] != lay.shard[:-1]])
+    low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    meta = np.array([(d or 0, d is None, t) for d, t in docs], np.int64).tobytes()
+    squeezed = _squeeze(ids)
+    state = b"".join([np.array([len(ids), len(hashes), len(docs), len(squeezed)], np.int64).tobytes(), hashes.tobytes(), meta, squeezed])
+    words = np.searchsorted(lay.first, np.r_[starts, len(lay.word)])
     out = []
-    for s in range(shards):
-        w, c, o, m = (x[cuts[s] : cuts[s + 1]] for x in (word, context, owner, many))
-        pair = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])]) if len(w) else np.empty(0, np.int64)
-        words = h[bounds[s] : bounds[s + 1]]
-        per_word = np.bincount(w[pair] - bounds[s], minlength=len(words)) if len(words) else np.empty(0, np.int64)
-        head = np.array([len(words), len(pair), len(w), len(docs)], np.uint32)
-        body = (head, train, words, per_word.astype(np.uint32), c[pair].astype(np.uint32), np.diff(np.r_[pair, len(w)]).astype(np.uint32), o.astype(np.uint32 if len(docs) > 65535 else np.uint16), m.astype(np.uint32))
-        out.append((s, batch, b"".join(x.tobytes() for x in body), meta if s == batch % shards else b""))
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "packed", "meta"])
-
-
-def _pack(shards: int):
+    for k, (a, b) in enumerate(itertools.pairwise(np.r_[starts, len(lay.word)].tolist())):
+        first = lay.first[words[k] : words[k + 1]]
+        head = np.array([len(first), b - a], np.uint32)
+        body = (head, hashes[lay.word[first]], np.diff(np.r_[first, b]).astype(np.uint32), low[lay.context[a:b]], many[a:b].astype(np.uint32))
+        out.append((int(lay.shard[a]), batch, b"".join(x.tobytes() for x in body), b"" if k else state))
+    shard, number, packed, states = zip(*out, strict=True)
+    return _arrow(shard=(shard, pa.int32()), batch=(number, pa.int64()), packed=(packed, pa.binary()), state=(states, pa.binary()))
+
+
+def _pack(cut: Cut, batch_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = itertools.count(TaskContext.get().partitionId() << 32)
-        docs: list[tuple] = []
-        tokens: list[list[bytes]] = []
-        held = 0
+        fresh = lambda: defaultdict(itertools.count(1).__next__, {END: 0})
+        docs, ids, held, index = [], [], 0, fresh()
         for batch in batches:
             for doc, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = text.as_py().lower().split()
-                if docs and (held + len(found) > BATCH_TOKENS or len(docs) >= BATCH_DOCS):
-                    yield _pack_batch(next(number), docs, tokens, shards)
-                    docs, tokens, held = [], [], 0
+                if docs and held + len(found) >= batch_tokens:
+                    yield _pack_batch(next(number), docs, np.concatenate(ids).astype(np.int64), index, cut)
+                    docs, ids, held, index = [], [], 0, fresh()
+                found.append(END)
                 docs.append((doc, train))
-                tokens.append(found)
+                ids.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)))
                 held += len(found)
         if docs:
-            yield _pack_batch(next(number), docs, tokens, shards)
+            yield _pack_batch(next(number), docs, np.concatenate(ids).astype(np.int64), index, cut)
 
     return run
 
 
-def _unpack(packed: bytes) -> dict[str, np.ndarray]:
-    words, pairs, rows, docs = (int(x) for x in np.frombuffer(packed, np.uint32, 4))
-    at, out = 16, {}
-    for name, kind, n in (("train", np.uint8, docs), ("words", np.uint64, words), ("per_word", np.uint32, words), ("context", np.uint32, pairs), ("per_pair", np.uint32, pairs), ("doc", np.uint32 if docs > 65535 else np.uint16, rows), ("many", np.uint32, rows)):
-        out[name] = np.frombuffer(packed, kind, n, at)
+# --- the shards and their answers ----------------------------------------------------------------------------------
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
+    """(words, pairs per word, contexts, training counts) of a piece."""
+    words, pairs = (int(x) for x in np.frombuffer(packed, np.uint32, 2))
+    at, out = 8, []
+    for kind, n in ((np.uint64, words), (np.uint32, words), (np.uint32, pairs), (np.uint32, pairs)):
+        out.append(np.frombuffer(packed, kind, n, at))
         at += np.dtype(kind).itemsize * n
-    out["pair_word"] = np.repeat(np.arange(words), out["per_word"])
-    out["row_pair"] = np.repeat(np.arange(pairs), out["per_pair"])
-    return out
+    return tuple(out)
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,95 +349,109 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[new], np.add.reduceat(values, new) if len(new) else values
 
 
-def _answer(total: int, ends: int):
+def _trie(pieces: list[bytes], cut: Cut, total: int) -> Trie:
+    """The memory-mapped trie of a shard's pieces."""
+    heads, sums = [], []
+    for piece in pieces:
+        words, per_word, _, n = _unpack(piece)
+        heads.append(words)
+        sums.append(np.add.reduceat(n.astype(np.int64), np.cumsum(per_word.astype(np.int64)) - per_word))
+    words, counts = _summed(np.concatenate(heads), np.concatenate(sums))
+    del heads, sums
+    if len(cut.heavy):  # this shard has only some of what stands before a heavy word
+        at = np.minimum(np.searchsorted(cut.heavy, words), len(cut.heavy) - 1)
+        counts = np.where(cut.heavy[at] == words, cut.counts[at], counts)
+    words, counts = words[counts > 0], counts[counts > 0]
+    keys, values = [], []
+    for piece in pieces:
+        own, per_word, contexts, n = _unpack(piece)
+        use = n > 0
+        keys.append((np.repeat(np.searchsorted(words, own), per_word)[use].astype(np.uint64) << np.uint64(32)) | contexts[use])
+        values.append(n[use].astype(np.int64))
+    pairs, pair_counts = _summed(np.concatenate(keys), np.concatenate(values))
+    del keys, values
+    handle, path = tempfile.mkstemp(suffix=".trie")
+    os.close(handle)
+    try:
+        Trie.write(path, words, counts, pairs, pair_counts, total)
+        return Trie(path)
+    finally:
+        os.unlink(path)  # the mapping outlives the name, and nothing stays behind
+
+
+def _answer(cut: Cut, total: int):
+    unknown = code(np.log10(np.array([MU / (total + 1)])))[0]
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        seen = []  # per batch: training counts of its pairs and words
-        for packed in group["packed"]:
-            b = _unpack(packed)
-            pair = np.bincount(b["row_pair"], b["many"] * b["train"][b["doc"]], len(b["context"])).astype(np.int64)
-            seen.append((b["words"], np.bincount(b["pair_word"], np.where(b["context"] == END, 0, pair), len(b["words"])).astype(np.int64), b["pair_word"], b["context"], pair))
-        words, counts = _summed(np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen]))
-        words, counts = words[counts > 0], counts[counts > 0]
-        keys, values = [], []
-        for w, _, pw, c, n in seen:
-            use = n > 0
-            keys.append((np.searchsorted(words, w)[pw[use]].astype(np.uint64) << np.uint64(32)) | c[use])
-            values.append(n[use])
-        pairs, pair_counts = _summed(np.concatenate(keys), np.concatenate(values))
-        del seen, keys, values
-        handle, path = tempfile.mkstemp(suffix=".trie")
-        os.close(handle)
-        try:
-            Trie.write(path, words, counts, pairs, pair_counts, total, ends)
-            trie = Trie(path)
-        finally:
-            os.unlink(path)  # the mapping outlives the name, and nothing stays behind
-        unknown, end = math.log10(MU / (total + 1)), math.log10(MU * max(ends, 1) / (total + 1))
+        trie = _trie(list(group["packed"]), cut, total)
         out = []
-        for batch, packed, meta in zip(group["batch"], group["packed"], group["meta"], strict=True):
-            b = _unpack(packed)
-            rank, known = trie.find(b["words"])
-            c = np.where(known, trie.counts[rank] if trie.words.n else 0, 0).astype(np.float64)
-            under = np.where(known, value(trie.under[rank]) if trie.words.n else 0.0, math.log10(MU))
-            plain = np.where(known, value(trie.unseen[rank]) if trie.words.n else 0.0, unknown)
-            is_end = b["context"] == END
-            top = np.where(is_end, end, plain[b["pair_word"]])
-            ask = known[b["pair_word"]]
+        for packed in group["packed"]:
+            words, per_word, contexts, _ = _unpack(packed)
+            rank, known = trie.find(words)
+            counts = np.where(known, trie.counts[rank] if trie.words.n else 0, 0).astype(np.uint64)
+            plain = np.where(known, trie.unseen[rank] if trie.words.n else 0, unknown).astype(np.uint16)
+            codes, ask = np.repeat(plain, per_word), np.repeat(known, per_word)
             if ask.any():
-                place, found = trie.above(rank[b["pair_word"]][ask], b["context"][ask])
-                got = top[ask]
-                got[found] = value(trie.seen[place[found]])
-                top[ask] = got
-            base, each = np.log10(c + 0.1)[b["pair_word"]], np.where(is_end, 0.0, 1.0)
-            per_pair = np.stack([top - each * under[b["pair_word"]], each * base, each * known[b["pair_word"]]])
-            sums = np.stack([np.bincount(b["doc"], b["many"] * p[b["row_pair"]], len(b["train"])) for p in per_pair])
-            out.append((batch, trie.words.n, sums.tobytes(), meta))
-        return pd.DataFrame(out, columns=["batch", "words", "sums", "meta"])
+                place, found = trie.above(np.repeat(rank, per_word)[ask], contexts[ask])
+                got = codes[ask]
+                got[found] = trie.seen[place[found]]
+                codes[ask] = got
+            out.append(counts.tobytes() + codes.tobytes())
+        return group[["batch", "shard", "state"]].assign(words=[int(np.frombuffer(x, np.uint32, 1)[0]) for x in group["packed"]], answer=out)
 
     return run
 
 
-def _total(total: int, ends: int, empty: int):
+def _total(cut: Cut, total: int, distinct: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        meta = np.frombuffer(next(m for m in group["meta"] if m), np.int64).reshape(-1, 4)
-        sums = sum(np.frombuffer(s, np.float64).reshape(3, -1) for s in sorted(group["sums"]))
-        distinct = int(group["words"].sum()) + (ends > 0)
-        tokens, nothing = meta[:, 3] + 1, meta[:, 3] == 0
-        first = max(ends, 1) / (total + 1)
-        norm = math.log10(total + 0.1 * (distinct + 1))
+        group = group.sort_values("shard")
+        state = next(x for x in group["state"] if x)
+        tokens, words, docs, size = (int(x) for x in np.frombuffer(state, np.int64, 4))
+        hashes, meta = np.frombuffer(state, np.uint64, words, 32), np.frombuffer(state, np.int64, 3 * docs, 32 + 8 * words).reshape(-1, 3)
+        plane = pa.decompress(state[-size:], 4 * tokens, codec="zstd", asbytes=True)
+        ids = np.ascontiguousarray(np.frombuffer(plane, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        lay = Layout(ids, hashes, cut)
+        counts, codes = np.zeros(words), np.empty(len(lay.word), np.uint16)
+        at = pair = 0
+        for n, answer in zip(group["words"], group["answer"], strict=True):
+            counts[lay.word[lay.first[at : at + n]]] = np.frombuffer(answer, np.uint64, n)
+            got = np.frombuffer(answer, np.uint16, -1, 8 * n)
+            codes[pair : pair + len(got)] = got
+            at, pair = at + n, pair + len(got)
+        if (at, pair) != (len(lay.first), len(lay.word)):
+            raise RuntimeError("a batch's answers do not fit its pairs")
+        ends = np.flatnonzero(ids == 0)
+        starts = np.r_[0, ends[:-1] + 1]
+        by_text = lambda x: np.add.reduceat(x, starts)
+        norm = np.log10(total + 0.1 * (distinct + 1))
         return pd.DataFrame(
             {
-                "doc_id": pd.array(meta[:, 0], "Int64").copy() if not meta[:, 1].any() else pd.array([None if n else d for d, n in meta[:, :2]], "Int64"),
+                "doc_id": pd.arrays.IntegerArray(meta[:, 0].copy(), meta[:, 1] != 0),
                 "held_out": meta[:, 2] == 0,
-                "n_tokens": tokens,
-                "n_known": np.round(sums[2]).astype(np.int64) + (ends > 0),
-                "train_tokens": np.full(len(meta), total),
-                "base_score": sums[1] + math.log10(ends + 0.1) - tokens * norm,
-                "score": sums[0] - math.log10(ends + MU) + np.where(nothing, math.log10(empty + MU * first), 0.0),
+                "n_tokens": ends + 1 - starts,
+                "n_known": by_text((counts > 0)[ids].astype(np.int64)),
+                "train_tokens": np.full(docs, total),
+                "base_score": by_text((np.log10(counts + 0.1) - norm)[ids]),
+                "score": by_text(value(codes)[lay.place[lay.pair]] - np.log10(counts + MU)[lay.before]),
             }
         )
 
     return run
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = texts = empty = every = 0
-    for batch in batches:
-        for train, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            n = len(text.as_py().split())
-            every += n + 1
-            if train:
-                words, texts, empty = words + n, texts + 1, empty + (n == 0)
-    yield pa.RecordBatch.from_pydict({"words": [words], "texts": [texts], "empty": [empty], "every": [every]})
-
-
-def lm_scores(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = FOLDS, shard_tokens: int = SHARD_TOKENS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Fold 0 is held out."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long"), (crc % folds != 0).alias("train"), text_bytes().alias("b"))
-    size = rows.mapInArrow(_sizes, "words long, texts long, empty long, every long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "texts", "empty", "every")]).first()
-    total, shards = size.words + size.texts, max(6, -(-size.every // SHARD_TOKENS))
-    packed = rows.mapInArrow(_pack(shards), "shard int, batch long, packed binary, meta binary")
-    answers = packed.groupBy("shard").applyInPandas(_answer(total, size.texts), "batch long, words long, sums binary, meta binary")
+    words = rows.mapInArrow(_count(COUNT_WORDS), "word long, n long, every long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+    sums = checkpoint(words.mapInArrow(_sums(shard_tokens // 4), "word long, n long, every long, words long"))
+    total, every, distinct = sums.filter("word is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "every", "words")]).first()
+    # fewer than HEAVY_WORDS words can have so large a part of all tokens
+    heavy = sums.filter(F.col("word").isNotNull() & (F.col("n") > total // HEAVY_WORDS)).toPandas()
+    hashes, counts = heavy["word"].to_numpy(np.int64).view(np.uint64), heavy["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    cut = Cut(max(LEAST_SHARDS, -(-every // shard_tokens)), hashes[order], counts[order], -(-4 * counts[order] // shard_tokens).astype(np.uint64))
+    packed = rows.mapInArrow(_pack(cut, batch_tokens), "shard int, batch long, packed binary, state binary")
+    answers = packed.groupBy("shard").applyInPandas(_answer(cut, total), "batch long, shard int, state binary, words long, answer binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answers.groupBy("batch").applyInPandas(_total(total, size.texts, size.empty), schema)
+    return answers.groupBy("batch").applyInPandas(_total(cut, total, distinct), schema)

@@ -26,7 +26,7 @@ def test_trie_round_trip():
     pairs = np.array([1, 7, (1 << 32) | 7, (2 << 32) | 0, (2 << 32) | 9], np.uint64)
     handle, path = tempfile.mkstemp()
     os.close(handle)
-    lm.Trie.write(path, words, counts, pairs, np.array([1, 1, 1, 2, 2]), 7, 2)
+    lm.Trie.write(path, words, counts, pairs, np.array([1, 1, 1, 2, 2]), 7)
     t = lm.Trie(path)
     os.unlink(path)
     rank, known = t.find(np.array([5, 6, 900, 1 << 63], np.uint64))
@@ -53,13 +53,28 @@ def scores(rows):
     return out
 
 
-@pytest.mark.parametrize("batch", [lm.BATCH_DOCS, 3])
-def test_scores_against_brute_force(spark, monkeypatch, batch):
+@pytest.mark.parametrize("batch_tokens,shard_tokens", [(lm.BATCH_TOKENS, lm.SHARD_TOKENS), (30, 16), (500, 200)])
+def test_scores_against_brute_force(spark, batch_tokens, shard_tokens):
     rng = np.random.default_rng(8)
     rows = [(k, " ".join(rng.choice(["a", "B", "cc", "d,", "É"], int(rng.integers(0, 30))))) for k in range(60)] + [(7, "a a a"), (None, None), (11, "unseen words only"), (99, "a " * 5000)]
     d = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
-    got = sorted(((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.lm_scores(d).collect()))
+    scored = lm.lm_scores(d, batch_tokens=batch_tokens, shard_tokens=shard_tokens)
+    got = sorted(((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in scored.collect()))
     want = sorted(scores(rows))
     for g, w in zip(got, want, strict=True):
         assert g[:4] == w[:4] and abs(g[4] - w[4]) < 1e-6 and abs(g[5] - w[5]) < 0.001 * w[1] + 1e-6
     assert lm.lm_scores(d.limit(0)).count() == 0
+
+
+def test_a_heavy_word_is_spread_and_pieces_are_few():
+    rng = np.random.default_rng(3)
+    index = {lm.END: 0} | {f"w{k}".encode(): k for k in range(1, 3000)}
+    ids = np.where(rng.random(60_000) < 0.3, 1, rng.integers(1, 3000, 60_000))
+    ids[-1] = 0
+    hashes = np.fromiter(map(lm.xxhash.xxh64_intdigest, index), np.uint64, len(index))
+    plain = lm.Cut(64, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64))
+    heavy = lm.Cut(64, hashes[1:2], np.array([18_000]), np.array([80], np.uint64))
+    before, after = (np.bincount(lm.Layout(ids, hashes, c).shard, minlength=64) for c in (plain, heavy))
+    assert before.max() > 3 * before.mean() and after.max() < 2 * after.mean()
+    out = lm._pack_batch(0, [(5, True)], np.r_[ids[:3], 0], index, lm.Cut(10_000, *[np.empty(0, np.uint64)] * 3))
+    assert out.num_rows <= 4
