@@ -196,28 +196,28 @@ def _arrow(**columns: tuple) -> pa.RecordBatch:
 
 
 def _count(limit: int):
-    """(word's hash, count in training texts, count) of each distinct word of a partition, ends included."""
+    """(word's hash, count) of each distinct word of a partition's training texts, ends included; and all tokens, without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, taught = Counter(), Counter()
+        taught, every = Counter(), 0
 
         def counted() -> pa.RecordBatch:
-            words = np.fromiter(map(xxhash.xxh64_intdigest, every), np.uint64, len(every)).view(np.int64)
-            return _arrow(word=(words, pa.int64()), n=([taught[w] for w in every], pa.int64()), every=(list(every.values()), pa.int64()))
+            words = np.fromiter(map(xxhash.xxh64_intdigest, taught), np.uint64, len(taught)).view(np.int64)
+            return _arrow(word=(words, pa.int64()), n=(list(taught.values()), pa.int64()))
 
         for batch in batches:
             for train, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = text.as_py().lower().split()
                 found.append(END)
-                every.update(found)
+                every += len(found)
                 if train:
                     taught.update(found)
-                if len(every) >= limit:
+                if len(taught) >= limit:
                     yield counted()
-                    every.clear()
                     taught.clear()
-        if every:
+        if taught:
             yield counted()
+        yield _arrow(word=([None], pa.int64()), n=([every], pa.int64()))
 
     return run
 
@@ -226,15 +226,16 @@ def _sums(heavy: int):
     """Of word counts: a row of sums a partition, without a word, and the words of more than ``heavy`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(3, np.int64)
+        taught = every = distinct = 0
         for batch in batches:
-            word, n, every = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            total += [n.sum(), every.sum(), (n > 0).sum()]
-            many = n > heavy
+            word, n = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            is_word = word.is_valid().to_numpy(zero_copy_only=False)
+            taught, every, distinct = taught + int(n[is_word].sum()), every + int(n[~is_word].sum()), distinct + int(is_word.sum())
+            many = is_word & (n > heavy)
             if many.any():
                 zero = np.zeros(int(many.sum()), np.int64)
-                yield _arrow(word=(word[many], pa.int64()), n=(n[many], pa.int64()), every=(zero, pa.int64()), words=(zero, pa.int64()))
-        yield _arrow(word=([None], pa.int64()), n=(total[:1], pa.int64()), every=(total[1:2], pa.int64()), words=(total[2:], pa.int64()))
+                yield _arrow(word=(word.filter(pa.array(many)), pa.int64()), n=(n[many], pa.int64()), every=(zero, pa.int64()), words=(zero, pa.int64()))
+        yield _arrow(word=([None], pa.int64()), n=([taught], pa.int64()), every=([every], pa.int64()), words=([distinct], pa.int64()))
 
     return run
 
@@ -284,7 +285,7 @@ def _squeeze(ids: np.ndarray) -> bytes:
 
 
 def _pack_batch(batch: int, docs: list[tuple], ids: np.ndarray, index: dict[bytes, int], cut: Cut) -> pa.RecordBatch:
-    """One row per shard that has pairs of the batch; the first of them carries the batch itself."""
+    """One row per shard that has pairs of the batch; one of them, another for each batch, carries the batch itself."""
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
     ends = ids == 0
     train = np.array([d[1] for d in docs], np.int64)[np.cumsum(ends) - ends]
@@ -297,12 +298,12 @@ def _pack_batch(batch: int, docs: list[tuple], ids: np.ndarray, index: dict[byte
     squeezed = _squeeze(ids)
     state = b"".join([np.array([len(ids), len(hashes), len(docs), len(squeezed)], np.int64).tobytes(), hashes.tobytes(), meta, squeezed])
     words = np.searchsorted(lay.first, np.r_[starts, len(lay.word)])
-    out = []
+    out, carrier = [], ((batch >> 32) + batch) % len(starts)
     for k, (a, b) in enumerate(itertools.pairwise(np.r_[starts, len(lay.word)].tolist())):
         first = lay.first[words[k] : words[k + 1]]
         head = np.array([len(first), b - a], np.uint32)
         body = (head, hashes[lay.word[first]], np.diff(np.r_[first, b]).astype(np.uint32), low[lay.context[a:b]], many[a:b].astype(np.uint32))
-        out.append((int(lay.shard[a]), batch, b"".join(x.tobytes() for x in body), b"" if k else state))
+        out.append((int(lay.shard[a]), batch, b"".join(x.tobytes() for x in body), state if k == carrier else b""))
     shard, number, packed, states = zip(*out, strict=True)
     return _arrow(shard=(shard, pa.int32()), batch=(number, pa.int64()), packed=(packed, pa.binary()), state=(states, pa.binary()))
 
@@ -443,7 +444,7 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, shard_tokens: int = SHARD_TOK
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Fold 0 is held out."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long"), (crc % folds != 0).alias("train"), text_bytes().alias("b"))
-    words = rows.mapInArrow(_count(COUNT_WORDS), "word long, n long, every long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+    words = rows.mapInArrow(_count(COUNT_WORDS), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     sums = checkpoint(words.mapInArrow(_sums(shard_tokens // 4), "word long, n long, every long, words long"))
     total, every, distinct = sums.filter("word is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "every", "words")]).first()
     # fewer than HEAVY_WORDS words can have so large a part of all tokens
