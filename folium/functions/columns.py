@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import limits
+from .words import SPACE_CLASS
 
-SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
-TOKEN = r"[\p{IsAlphabetic}\p{N}_]+|[^\s]"
-MARKER = r"^\s*(?:[-*•–—](?:\s|$)|(?:[0-9]+|[A-Za-z])[.)]\s)"
+SPACE = f"[{SPACE_CLASS}]"
+TOKEN = rf"[\p{{IsAlphabetic}}\p{{N}}_]+|[^{SPACE_CLASS}]"
+MARKER = rf"^{SPACE}*(?:[-*•–—](?:{SPACE}|$)|(?:[0-9]+|[A-Za-z])[.)]{SPACE})"
 NUMBER = "\u0002"
 
 
@@ -25,21 +26,29 @@ def variant_key(text: Column) -> Column:
     return F.lower(squeezed(text))
 
 
-def role_key(text: Column, passes: int = 6) -> Column:
-    """Digit runs as #, and a space before one moves behind it, over up to ``passes`` numbers in a row."""
+def role_key(text: Column) -> Column:
+    """Digit runs as #; the spaces before the numbers of a row of numbers move behind the row."""
     t = F.regexp_replace(squeezed(text), "[0-9]+", NUMBER)
-    for _ in range(passes):
-        t = F.replace(t, F.lit(" " + NUMBER), F.lit(NUMBER + " "))
+    t = F.regexp_replace(t, f"((?: *{NUMBER})* +{NUMBER}(?: *{NUMBER})*)", "$1 ")
+    t = F.regexp_replace(t, f" +{NUMBER}", NUMBER)
     return F.lower(F.trim(F.regexp_replace(F.replace(t, F.lit(NUMBER), F.lit("#")), " +", " ")))
 
 
-def joined(left: Column, right: Column) -> Column:
+def separator(left: Column, right: Column) -> Column:
+    """What stands between two texts that aren't empty."""
     bound = F.substring(right, 1, 1).isin(*".,;:!?%)]}") | F.right(left, F.lit(1)).isin(*"([{")
-    return F.when(left == "", right).when(right == "", left).otherwise(F.concat(left, F.when(bound, "").otherwise(" "), right))
+    return F.when((left == "") | bound, "").otherwise(" ")
+
+
+def joined(left: Column, right: Column) -> Column:
+    return F.when(left == "", right).when(right == "", left).otherwise(F.concat(left, separator(left, right), right))
 
 
 def flow(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(""), joined)
+    """All lines joined: each line that isn't empty with what separates it from the one before, put together once."""
+    some = F.filter(lines, lambda x: x != "")
+    before = F.concat(F.array(F.lit("")), F.slice(some, F.lit(1), F.greatest(F.size(some) - 1, F.lit(0))))
+    return F.array_join(F.zip_with(F.slice(before, F.lit(1), F.size(some)), some, lambda p, x: F.concat(separator(p, x), x)), "")
 
 
 def is_list_marker(text: Column) -> Column:
@@ -56,7 +65,8 @@ def short_error(text: Column) -> Column:
 
 def marked(text: Column, opening: str, closing: str) -> Column:
     """The marks around the part without outer white space; blank texts stay."""
-    return F.when(F.trim(text) == "", text).otherwise(F.regexp_replace(text, r"^(\s*)(.*?)(\s*)$", f"$1{opening}$2{closing}$3"))
+    core = rf"(?s)^({SPACE}*)(.*?)({SPACE}*)\z"
+    return F.when(squeezed(text) == "", text).otherwise(F.regexp_replace(text, core, f"$1{opening}$2{closing}$3"))
 
 
 def reflows(before: Column, after: Column) -> Column:
@@ -163,7 +173,7 @@ def continues(last_text: Column, last: Column, text: Column, b: Column) -> Colum
     """Whether a line goes on with the block of the line before it."""
     height = F.greatest(last.height, b.height, F.lit(1.0))
     gap = F.abs((b.y + b.height / 2) - (last.y + last.height / 2))
-    ends = F.rtrim(last_text).rlike("[.!?:;]$")
+    ends = last_text.rlike(rf"[.!?:;]{SPACE}*\z")
     across = F.least(_right(last), _right(b)) - F.greatest(last.x, b.x)
     return (
         ~is_table_row(last_text) & ~is_table_row(text) & ~is_list_marker(text)

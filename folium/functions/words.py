@@ -7,14 +7,17 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
 
 import numpy as np
+import regex
 
 from .. import limits
 
-_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACES = re.compile(f"[{_SPACE}]+")
-TOKENS = re.compile(rf"\w+|[^\w{_SPACE}]")
+#: White space (fixed values: the White_Space property), as the inside of a character class.
+SPACE_CLASS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = re.compile(f"[{SPACE_CLASS}]+")
+TOKENS = regex.compile(rf"[\p{{Alphabetic}}\p{{N}}_]+|[^{SPACE_CLASS}]")
 CLOSING, OPENING = tuple(".,;:!?%)]}"), tuple("([{")
-LIST_MARKER = re.compile(rf"[{_SPACE}]*(?:[-*•–—](?:[{_SPACE}]|$)|(?:[0-9]+|[A-Za-z])[.)][{_SPACE}])")
+LIST_MARKER = re.compile(rf"[{SPACE_CLASS}]*(?:[-*•–—](?:[{SPACE_CLASS}]|$)|(?:[0-9]+|[A-Za-z])[.)][{SPACE_CLASS}])")
 
 
 def squeeze(text: str) -> str:
@@ -201,12 +204,12 @@ def inline(before: str, after: str) -> tuple[list[Span], list[Span]]:
 def changed_text(before: str, after: str, kind: str) -> str:
     """Only the added (of after) or removed (of before) spans, joined again."""
     spans = inline(before, after)[kind == "added"]
-    return reduce(joined, [t for k, t in spans if k == kind], "").strip()
+    return reduce(joined, [t for k, t in spans if k == kind], "").strip(SPACE_CHARS)
 
 
 def marked(text: str, opening: str, closing: str) -> str:
     """The marks around the part without outer white space."""
-    core = text.strip()
+    core = text.strip(SPACE_CHARS)
     if not core:
         return text
     at = text.index(core)

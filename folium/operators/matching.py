@@ -138,21 +138,21 @@ def pairs_of_runs(before: Sequence[Run], after: Sequence[Run]) -> tuple[list[tup
     by_text: dict[str, list[int]] = {}
     for j, r in enumerate(after):
         by_text.setdefault(r.text, []).append(j)
-    exact, rest, free = [], [], set(range(len(after)))
+    exact, rest, free = [], [], [True] * len(after)
     for i, r in enumerate(before):
-        same = [j for j in by_text.get(r.text, ()) if j in free]
+        same = [j for j in by_text.get(r.text, ()) if free[j]]
         if same:
             j = min(same, key=lambda j: (boxes.distance(r.box, after[j].box), j))
-            free.discard(j)
+            free[j] = False
             exact.append((i, j))
         else:
             rest.append(i)
-    placed = []
+    placed, left = [], [j for j in range(len(after)) if free[j]]
     for i in rest:
-        near = [j for j in sorted(free) if boxes.positional(before[i].box, after[j].box)]
+        near = [j for j in left if free[j] and boxes.positional(before[i].box, after[j].box)]
         if near:
             j = min(near, key=lambda j: (-words.similarity(before[i].text, after[j].text), boxes.distance(before[i].box, after[j].box), j))
-            free.discard(j)
+            free[j] = False
             placed.append((i, j))
     return exact, placed
 
@@ -243,7 +243,7 @@ def continues(last: Run, following: Run) -> bool:
     gap = abs(following.box.cy - last.box.cy)
     if gap > max(2.25 * height, 24.0):
         return False
-    if last.text.rstrip().endswith((".", "!", "?", ":", ";")) and gap > max(1.35 * height, 16.0):
+    if last.text.rstrip(words.SPACE_CHARS).endswith((".", "!", "?", ":", ";")) and gap > max(1.35 * height, 16.0):
         return False
     across = min(last.box.right, following.box.right) - max(last.box.x, following.box.x)
     return across > 0 or abs(last.box.x - following.box.x) <= max(2.5 * height, 18.0)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import raster
 from ..options import ComparisonError, Options, set_edges
-from .compare import compared, documents, equal_edges, revision
+from .compare import character_raster, compared, documents, equal_edges, revision
+from .sets import change_operations, edge_columns
 
 
 class PreviewCache:
@@ -94,9 +95,10 @@ class Session:
             pair = self.pages().filter(on & (F.col("pair_index") == pair_index)).select("before_page", "after_page").first()
             if row is None or pair is None:
                 raise ComparisonError("page-index-out-of-bounds", str(pair_index))
-            rows = [[r.asDict(True) for r in side] if side is not None else None for side in (row.before, row.after)]
+            rows = [[r.asDict(True) for r in side] if isinstance(side, list) else side for side in (row.before, row.after)]
             sides = [revision(r, self.size, True) for r in rows]
-            old, new = (s[k].image if k is not None else None for s, k in zip(sides, (pair.before_page, pair.after_page), strict=True))
+            old, new = (s[k] if k is not None else None for s, k in zip(sides, (pair.before_page, pair.after_page), strict=True))
+            old, new = (None if p is None else character_raster([r.text for r in p.runs]) if p.image is None else p.image for p in (old, new))
             old = raster.on_canvas(new[:0], new.shape[1], new.shape[0]) if old is None else old
             new = raster.on_canvas(old[:0], old.shape[1], old.shape[0]) if new is None else new
             d = raster.compare(old, new, self.options.raster, preview=True)
@@ -121,10 +123,12 @@ class DocumentSet:
 
     def _edges(self, pairs: list[tuple[int, str, str]]) -> DataFrame:
         spark = self.revisions.sparkSession
-        listed = F.broadcast(spark.createDataFrame(pairs, "edge_index int, from_revision string, to_revision string"))  # at most 63 rows
+        at = {name: k for k, name in enumerate(self.ids)}
+        rows = [(*p, at[p[1]], at[p[2]]) for p in pairs]
+        listed = F.broadcast(spark.createDataFrame(rows, "edge_index int, from_revision string, to_revision string, from_ordinal int, to_ordinal int"))  # at most 63 rows
         a = self.revisions.select(F.col("revision_id").alias("from_revision"), F.col("runs").alias("before"))
         b = self.revisions.select(F.col("revision_id").alias("to_revision"), F.col("runs").alias("after"))
-        return a.join(listed, "from_revision").join(b, "to_revision").select(F.lit("set").alias("set_id"), "edge_index", "from_revision", "to_revision", "before", "after")
+        return a.join(listed, "from_revision").join(b, "to_revision").select(F.lit("set").alias("set_id"), "edge_index", "from_revision", "to_revision", "from_ordinal", "to_ordinal", "before", "after")
 
     def session(self, from_id: str, to_id: str) -> Session:
         if from_id == to_id or from_id not in self.ids or to_id not in self.ids:
@@ -136,4 +140,8 @@ class DocumentSet:
     def pages(self) -> DataFrame:
         """All edges compared in parallel."""
         rows = [(k, self.ids[a], self.ids[b]) for k, (a, b) in enumerate(self.pairs)]
-        return compared(self._edges(rows), ("set_id", "edge_index", "from_revision", "to_revision"), self.options)
+        return compared(self._edges(rows), edge_columns("set_id"), self.options)
+
+    def changes(self) -> DataFrame:
+        """The revision-neutral change operations of the set."""
+        return change_operations(self.pages())

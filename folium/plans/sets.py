@@ -12,12 +12,16 @@ from ..functions import columns as C
 STRUCTURE_NAMES = {"paragraph": "Paragraph", "list-item": "ListItem", "table-row": "TableRow"}
 
 
+def edge_columns(set_col: str) -> list[str]:
+    return [set_col, "edge_index", "from_revision", "to_revision", "from_ordinal", "to_ordinal"]
+
+
 def text_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
     """One row per review block of an edge: its operation key, kind, and what anchors need.
 
-    ``pages`` is a compared edge table with set_id, edge_index, from_revision, to_revision.
+    ``pages`` is a compared edge table with set_id, edge_index, from_revision, to_revision, and the revisions' ordinals.
     """
-    edge = [set_col, "edge_index", "from_revision", "to_revision"]
+    edge = edge_columns(set_col)
     b = pages.filter("status <> 'equal'").select(*edge, "pair_index", "before_page", "after_page", F.posexplode("blocks").alias("ordinal", "b"))
     page = F.coalesce("before_page", "after_page", "pair_index")
     shown = F.create_map(*[F.lit(x) for kv in STRUCTURE_NAMES.items() for x in kv])[F.col("b.structure")]
@@ -31,13 +35,13 @@ def text_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
 
 
 def figure_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
-    edge = [set_col, "edge_index", "from_revision", "to_revision"]
+    edge = edge_columns(set_col)
     f = pages.filter("status <> 'equal'").select(*edge, "pair_index", "before_page", "after_page", F.posexplode("figures").alias("ordinal", "f"))
     owner = F.when(F.col("f.status") == "added", F.col("to_revision")).otherwise(F.col("from_revision"))
     return f.select(
         *edge, "pair_index", F.lit(1).alias("phase"), "ordinal", F.concat_ws(":", F.lit("figure"), owner, "pair_index", "f.id").alias("op_key"), F.lit("figure").alias("source"),
-        F.col("f.status").alias("kind"), F.coalesce("before_page", "after_page", "pair_index").alias("page_index"), F.lit(None).cast("string").alias("structure"), "before_page", "after_page",
-        F.lit(None).cast("string").alias("before_text"), F.lit(None).cast("string").alias("after_text"), F.lit(0).alias("changed_lines"), F.lit(None).cast("long").alias("changed_pixels"),
+        F.col("f.status").alias("kind"), F.coalesce("before_page", "after_page", "pair_index").alias("page_index"), F.lit(None).cast("string").alias("structure"), F.coalesce("before_page", "pair_index").alias("before_page"),
+        F.coalesce("after_page", "pair_index").alias("after_page"), F.lit(None).cast("string").alias("before_text"), F.lit(None).cast("string").alias("after_text"), F.lit(0).alias("changed_lines"), F.lit(None).cast("long").alias("changed_pixels"),
     )
 
 
@@ -47,7 +51,7 @@ def page_kind(status: Column) -> Column:
 
 def page_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
     """Inserted, deleted and moved pages; modified ones only without text rows and figures."""
-    edge = [set_col, "edge_index", "from_revision", "to_revision"]
+    edge = edge_columns(set_col)
     silent = (F.coalesce(F.size("blocks"), F.lit(0)) <= 0) & (F.coalesce(F.size("figures"), F.lit(0)) <= 0)
     p = pages.filter(F.col("status").isin("inserted", "deleted", "moved") | ((F.col("status") == "modified") & silent)).withColumn("kind", page_kind(F.col("status")))
     owner = F.when(F.col("status") == "inserted", F.col("to_revision")).otherwise(F.col("from_revision"))
@@ -67,21 +71,17 @@ def change_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
     """op_key, id, kind, source, page_index, structure, anchors, variants, comparisons, visual evidence per operation.
 
     The first row of a key, by edge, source and place, gives source, page and number; kinds that differ diverge; the
-    first anchor of each revision counts; the latest edge's visual evidence counts; one comparison per edge.
+    first anchor of each revision counts; the latest edge's visual evidence counts; one comparison per edge. Anchors
+    stand in the order of the revisions; variants (anchor texts that aren't blank, told apart by their normalised form)
+    in the order in which they were first seen, each with its revisions and anchors.
     """
+    if "from_ordinal" not in pages.columns:  # edges of neighbours, unless they say otherwise
+        pages = pages.withColumn("from_ordinal", F.col("edge_index")).withColumn("to_ordinal", F.col("edge_index") + 1)
     rows = text_operations(pages, set_col)
     for more in (figure_operations, page_operations):
         rows = rows.unionByName(more(pages, set_col), allowMissingColumns=True)
     place = F.struct("edge_index", F.when(F.col("phase") == 0, -1).otherwise(F.col("pair_index")), "phase", "pair_index", "ordinal")
     rows = rows.withColumn("place", place)
-    side = lambda who, page, text, at: F.struct(F.col(who).alias("revision_id"), F.col("place").alias("place"), F.lit(at).alias("side"), state(F.col("kind")).alias("state"), F.col(page).alias("page_index"), F.col(text).alias("text"))
-    anchors = F.filter(F.array(F.when(F.col("kind") != "added", side("from_revision", "before_page", "before_text", 0)), F.when(F.col("kind") != "removed", side("to_revision", "after_page", "after_text", 1))), lambda a: a.isNotNull())
-    a = rows.select(set_col, "op_key", F.explode(anchors).alias("a"))
-    first = a.groupBy(set_col, "op_key", F.col("a.revision_id").alias("revision_id")).agg(F.min_by(F.struct("a.state", "a.page_index", "a.text"), F.struct("a.place", "a.side")).alias("a"))
-    listed = first.groupBy(set_col, "op_key").agg(
-        F.array_sort(F.collect_list(F.struct("revision_id", "a.state", "a.page_index", "a.text"))).alias("anchors"),
-        F.array_sort(F.collect_set(F.when(F.col("a.text").isNotNull(), C.variant_key(F.col("a.text"))))).alias("variants"),
-    )
     ops = rows.groupBy(set_col, "op_key").agg(
         F.min("place").alias("place"), F.min_by("source", "place").alias("source"), F.min_by("page_index", "place").alias("page_index"),
         C.merged_kind(F.col("kind")).alias("kind"), F.min_by("structure", F.when(F.col("structure").isNotNull(), F.col("place"))).alias("structure"),
@@ -90,4 +90,51 @@ def change_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
     number = F.row_number().over(Window.partitionBy(set_col).orderBy("place"))
     shown = F.row_number().over(Window.partitionBy(set_col).orderBy(F.col("page_index").asc_nulls_last(), "place"))
     named = ops.withColumn("id", F.concat(F.lit("change-"), number)).withColumn("op_ordinal", shown)
-    return named.join(listed, [set_col, "op_key"]).drop("place")
+    first = first_anchors(rows, set_col).join(named.select(set_col, "op_key", F.col("id").alias("op_id")), [set_col, "op_key"])
+    first = first.withColumn("anchor_id", F.concat("op_id", F.lit(":anchor:"), "revision_id"))
+    listed = first.groupBy(set_col, "op_key").agg(F.array_sort(F.collect_list(F.struct("ordinal", "revision_id", "anchor_id", "state", "page_index", "text"))).alias("anchors"))
+    out = named.join(listed, [set_col, "op_key"]).join(variants(first, set_col), [set_col, "op_key"], "left")
+    return out.withColumn("variants", F.coalesce("variants", F.array().cast(out.schema["variants"].dataType))).drop("place")
+
+
+def first_anchors(rows: DataFrame, set_col: str) -> DataFrame:
+    """The first anchor that each revision has in an operation."""
+    side = lambda who, page, text, at: F.struct(F.col(f"{who}_revision").alias("revision_id"), F.col(f"{who}_ordinal").alias("ordinal"), F.col("place").alias("place"), F.lit(at).alias("side"), state(F.col("kind")).alias("state"), F.col(page).alias("page_index"), F.col(text).alias("text"))
+    both = F.array(F.when(F.col("kind") != "added", side("from", "before_page", "before_text", 0)), F.when(F.col("kind") != "removed", side("to", "after_page", "after_text", 1)))
+    a = rows.select(set_col, "op_key", F.explode(F.filter(both, lambda a: a.isNotNull())).alias("a"))
+    seen = F.struct("a.place", "a.side")
+    g = a.groupBy(set_col, "op_key", F.col("a.revision_id").alias("revision_id"))
+    return g.agg(F.min_by(F.struct("a.ordinal", "a.state", "a.page_index", "a.text"), seen).alias("a"), F.min(seen).alias("seen")).select(set_col, "op_key", "revision_id", "seen", "a.*")
+
+
+def variants(anchors: DataFrame, set_col: str) -> DataFrame:
+    """The different texts of each operation's anchors: as first written, with revisions and anchors in order of sight."""
+    t = anchors.filter(C.squeezed(F.col("text")) != "").withColumn("key", C.variant_key(F.col("text")))
+    members = F.array_sort(F.collect_list(F.struct("seen", "revision_id", "anchor_id")))
+    v = t.groupBy(set_col, "op_key", "op_id", "key").agg(F.min("seen").alias("seen"), F.min_by("text", "seen").alias("text"), members.alias("m"))
+    name = F.concat("op_id", F.lit(":variant-"), F.row_number().over(Window.partitionBy(set_col, "op_key").orderBy("seen")))
+    v = v.withColumn("id", name).withColumn("revision_ids", F.col("m.revision_id")).withColumn("anchor_ids", F.col("m.anchor_id"))
+    g = v.groupBy(set_col, "op_key").agg(F.array_sort(F.collect_list(F.struct("seen", "id", "text", "revision_ids", "anchor_ids"))).alias("v"))
+    return g.select(set_col, "op_key", F.transform("v", lambda x: F.struct(x.id.alias("id"), x.text.alias("text"), x.revision_ids.alias("revision_ids"), x.anchor_ids.alias("anchor_ids"))).alias("variants"))
+
+
+def comparisons(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
+    """Per edge: equal, changed pages, changed lines, truncated, pages of both revisions."""
+    from .compare import documents
+
+    return documents(pages, edge_columns(set_col))
+
+
+def set_verdicts(edges: DataFrame, set_col: str = "set_id") -> DataFrame:
+    """Of the rows of ``comparisons``: whether all edges are equal, whether any was truncated, totals."""
+    return edges.groupBy(set_col).agg(
+        F.count("*").alias("edges"), F.every("equal").alias("equal"), F.bool_or("truncated").alias("truncated"),
+        F.sum("changed_pages").alias("changed_pages"), F.sum("changed_lines").alias("changed_lines"),
+    )
+
+
+def page_counts(edges: DataFrame, set_col: str = "set_id") -> DataFrame:
+    """The pages of each revision, as the last edge that has it tells."""
+    side = lambda who, pages: F.struct(F.col(f"{who}_ordinal").alias("ordinal"), F.col(f"{who}_revision").alias("revision_id"), F.col(pages).alias("pages"))
+    rows = edges.select(set_col, "edge_index", F.explode(F.array(side("from", "before_pages"), side("to", "after_pages"))).alias("r"))
+    return rows.groupBy(set_col, "r.ordinal", "r.revision_id").agg(F.max_by("r.pages", "edge_index").alias("page_count"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +29,10 @@ def query(sql: str = ""):
 
 
 DOCS = "docs as (select doc_id, coalesce(text, '') as text from documents)"
-NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+#: White space and tokens in RE2's spelling; RE2 knows no Alphabetic, so letters and their marks stand for it.
+WS = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+TOKEN_RE = rf"[\p{{L}}\p{{N}}\p{{M}}_]+|[^{WS}]"
+NORM = rf"trim(regexp_replace(text, '[{WS}]+', ' ', 'g'))"
 RUNS = f"""{DOCS},
 split as (select doc_id, string_split(text, chr(10)) as ls from docs),
 flat as (select doc_id, unnest(ls) as text, unnest(range(len(ls))) as k from split),
@@ -38,7 +40,7 @@ runs as (select doc_id as revision_id, (k // 8)::int as page_index, (k % 8)::int
   72.0 as x, 10.0 + 16 * (k % 8) as y, 6.0 * length(text) as w, 12.0 as h from flat)"""
 EDGES = f"""{DOCS}, edges as (select a.doc_id as from_id, b.doc_id as to_id, a.text as before, b.text as after
   from docs a join docs b on b.doc_id = a.doc_id + 1)"""
-MARKER = r"^\s*(?:[-*•–—](?:\s|$)|(?:[0-9]+|[A-Za-z])[.)]\s)"
+MARKER = rf"^[{WS}]*(?:[-*•–—](?:[{WS}]|$)|(?:[0-9]+|[A-Za-z])[.)][{WS}])"
 TURNS = """turns as (select conv_id as set_id, row_number() over w - 2 as edge_index, lag(turn) over w as from_turn, turn as to_turn,
   lag(coalesce(text, '')) over w as before, coalesce(text, '') as after from conversations window w as (partition by conv_id order by turn)),
 edges as (select * from turns where edge_index >= 0)"""
@@ -59,7 +61,7 @@ def str_normalize_ws(spark: SparkSession, sf: str) -> DataFrame:
     return B.documents(spark, sf).select("doc_id", F.md5(t).alias("digest"), F.length(t).alias("chars"))
 
 
-@query(rf"""with {DOCS}, t as (select doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\s]') as ts from docs)
+@query(rf"""with {DOCS}, t as (select doc_id, regexp_extract_all(text, '{TOKEN_RE}') as ts from docs)
 select doc_id, len(ts) as n_tokens, md5(array_to_string(ts, ' ')) as digest from t""")
 def str_tokens(spark: SparkSession, sf: str) -> DataFrame:
     t = B.documents(spark, sf).select("doc_id", C.tokens(F.col("text")).alias("ts"))
@@ -71,11 +73,10 @@ def str_variant_key(spark: SparkSession, sf: str) -> DataFrame:
     return B.documents(spark, sf).select("doc_id", F.md5(C.variant_key(F.col("text"))).alias("digest"))
 
 
-ROLE_KEY = "replace(regexp_replace({0}, '[0-9]+', chr(2), 'g'), ' ' || chr(2), chr(2) || ' ')"
-ROLE_SQL = f"regexp_replace({NORM}, '[0-9]+', chr(2), 'g')"
-for _ in range(6):
-    ROLE_SQL = f"replace({ROLE_SQL}, ' ' || chr(2), chr(2) || ' ')"
-ROLE_SQL = f"lower(trim(regexp_replace(replace({ROLE_SQL}, chr(2), '#'), ' +', ' ', 'g')))"
+ROLE_SQL = f"regexp_replace(replace({NORM}, '#', chr(2)), '[0-9]+', '#', 'g')"
+# a number keeps its place before the spaces that stood before it: sort each row of numbers and spaces by kind
+ROLE_SQL = f"""lower(trim(regexp_replace(replace(list_reduce(list_prepend('', regexp_extract_all({ROLE_SQL}, '[# ]+|[^# ]+')),
+  lambda a, x: a || case when contains(x, '#') then repeat('#', len(x) - len(replace(x, '#', ''))) || repeat(' ', len(replace(x, '#', ''))) else x end), chr(2), '#'), ' +', ' ', 'g')))"""
 
 
 @query(f"with {RUNS} select revision_id, page_index, run_index, {ROLE_SQL} as role_key from runs")
@@ -98,8 +99,8 @@ def str_truncate_error(spark: SparkSession, sf: str) -> DataFrame:
     return B.text_run(B.documents(spark, sf)).select("revision_id", "page_index", "run_index", C.short_error(F.col("text")).alias("message"))
 
 
-@query(rf"""with {RUNS} select revision_id, page_index, run_index, case when trim(text) = '' then text
-  else regexp_replace(text, '^(\s*)(.*?)(\s*)$', '\1[-\2-]\3') end as marked from runs""")
+@query(rf"""with {RUNS} select revision_id, page_index, run_index, case when {NORM} = '' then text
+  else regexp_replace(text, '(?s)^([{WS}]*)(.*?)([{WS}]*)$', '\1[-\2-]\3') end as marked from runs""")
 def str_mark_inline(spark: SparkSession, sf: str) -> DataFrame:
     return B.text_run(B.documents(spark, sf)).select("revision_id", "page_index", "run_index", C.marked(F.col("text"), "[-", "-]").alias("marked"))
 
@@ -211,7 +212,7 @@ def win_reading_sort(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""with {RUNS}, lagged as (select *, lag(text) over w as pt, lag(y) over w as py, lag(h) over w as ph from runs window w as (partition by revision_id, page_index order by run_index)),
 marked as (select *, case when pt is not null and not (contains(pt, '|') or contains(pt, chr(9)) or contains(text, '|') or contains(text, chr(9)) or regexp_matches(text, '{MARKER}'))
-  and abs(y + h / 2 - py - ph / 2) <= greatest(2.25 * greatest(h, ph, 1), 24) and (not regexp_matches(rtrim(pt), '[.!?:;]$') or abs(y + h / 2 - py - ph / 2) <= greatest(1.35 * greatest(h, ph, 1), 16))
+  and abs(y + h / 2 - py - ph / 2) <= greatest(2.25 * greatest(h, ph, 1), 24) and (not regexp_matches(pt, '[.!?:;][{WS}]*$') or abs(y + h / 2 - py - ph / 2) <= greatest(1.35 * greatest(h, ph, 1), 16))
   then 0 else 1 end as starts from lagged)
 select revision_id, page_index, run_index, sum(starts) over (partition by revision_id, page_index order by run_index)::bigint as block from marked""")
 def win_block_segmentation(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,7 +284,8 @@ paired as (select coalesce(a.revision_id, b.revision_id - 1) as from_id, coalesc
 def paired_pages(spark: SparkSession, sf: str) -> DataFrame:
     """join_index_pages: every edge's pages by index, one side null where a revision has fewer."""
     e = B.next_id_edges(B.documents(spark, sf))
-    chunk = lambda c: F.expr(f"transform(sequence(0, (size(split({c}, '\\n')) - 1) div {B.LINES}), p -> array_join(slice(split({c}, '\\n'), cast(p * {B.LINES} + 1 as int), {B.LINES}), '\\n'))")
+    # the lines are bound to a variable, or they would be split again for each page
+    chunk = lambda c: F.expr(f"transform(array(split({c}, '\\n')), x -> transform(sequence(0, (size(x) - 1) div {B.LINES}), p -> array_join(slice(x, cast(p * {B.LINES} + 1 as int), {B.LINES}), '\\n')))[0]")
     both = e.select("from_id", F.arrays_zip(chunk("before").alias("before"), chunk("after").alias("after")).alias("z"))
     rows = both.select("from_id", F.posexplode("z").alias("page_index", "z")).select("from_id", "page_index", F.col("z.before").alias("before_body"), F.col("z.after").alias("after_body"))
     side = lambda c: F.when(F.col(c).isNotNull(), F.col("page_index"))
@@ -370,7 +372,7 @@ def join_bounded_zip(spark: SparkSession, sf: str) -> DataFrame:
     return z.select("from_id", kind.alias("kind")).groupBy("from_id", "kind").agg(F.count("*").alias("n"))
 
 
-TOK = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\s]')"
+TOK = "regexp_extract_all({0}, '" + TOKEN_RE.replace("{", "{{").replace("}", "}}") + "')"
 
 
 @query(f"""with {EDGES}, t as (select from_id, list_transform(string_split(before, chr(10)), lambda l: {TOK.format('l')}) as b, list_transform(string_split(after, chr(10)), lambda l: {TOK.format('l')}) as a from edges)
@@ -573,30 +575,23 @@ def agg_benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- rasters and fingerprints --------------------------------------------------------------------------------------------
 
-PIXELS = f"""{EDGES}, px as (select from_id, list_transform(string_split(before, ''), lambda c: case when regexp_matches(c, '^\\s$') then 255 else ascii(c) % 200 end) as b,
-  list_transform(string_split(after, ''), lambda c: case when regexp_matches(c, '^\\s$') then 255 else ascii(c) % 200 end) as a from edges where before <> '' and after <> '')"""
+PIXELS = f"""{EDGES}, px as (select from_id, list_transform(regexp_extract_all(before, '(?s).'), lambda c: case when regexp_matches(c, '^[\\x09-\\x0d ]$') then 255 else ascii(c) % 200 end) as b,
+  list_transform(regexp_extract_all(after, '(?s).'), lambda c: case when regexp_matches(c, '^[\\x09-\\x0d ]$') then 255 else ascii(c) % 200 end) as a from edges)"""
 
 
 @query(f"""with {PIXELS} select from_id, greatest(len(b), len(a)) as pixels,
   len(list_filter(list_zip(b, a), lambda z: abs(coalesce(z[1], 255) - coalesce(z[2], 255)) > 8)) as changed,
   len(list_filter(b, lambda v: v * 10000 < 2450000)) as before_content, len(list_filter(a, lambda v: v * 10000 < 2450000)) as after_content from px""")
 def agg_changed_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """Changed and content pixels of every edge's character rasters without a shift (prd_pixel_changed, prd_content_pixel)."""
-    from .plans.compare import spread
-
-    e = spread(B.next_id_edges(B.documents(spark, sf)).filter("before <> '' and after <> ''"), ("from_id",))
-    kind = pa.struct([(n, pa.int64()) for n in ("pixels", "changed", "before_content", "after_content")])
-
-    def run(before: pa.Array, after: pa.Array) -> pa.Array:
-        rows = []
-        for a, b in zip(before, after, strict=True):
-            x, y = B.grey(a.as_py()), B.grey(b.as_py())
-            p, q = (np.pad(v, (0, max(len(x), len(y)) - len(v)), constant_values=255) for v in (x, y))
-            rows.append({"pixels": len(p), "changed": int((np.abs(p - q) > 8).sum()), "before_content": int((x < 245).sum()), "after_content": int((y < 245).sum())})
-        return pa.array(rows, kind)
-
-    udf = F.arrow_udf(run, "struct<pixels:long,changed:long,before_content:long,after_content:long>")
-    return e.select("from_id", udf("before", "after").alias("p")).select("from_id", "p.*")
+    """Changed and content pixels of every edge's character rasters without a shift; what a side lacks is white
+    (prd_pixel_changed, prd_content_pixel)."""
+    grey = lambda c: F.expr(f"transform(regexp_extract_all({c}, '(?s).', 0), c -> if(c rlike '^[\\\\x09-\\\\x0d ]$', 255, ascii(c) % 200))")
+    e = B.next_id_edges(B.documents(spark, sf)).select("from_id", grey("before").alias("b"), grey("after").alias("a"))
+    white = F.lit(255)
+    differs = F.zip_with("b", "a", lambda x, y: F.abs(F.coalesce(x, white) - F.coalesce(y, white)) > 8)
+    ink = lambda c: F.size(F.filter(c, lambda v: C.is_ink(v, v, v)))
+    count = F.size(F.filter(differs, lambda x: x))
+    return e.select("from_id", F.greatest(F.size("b"), F.size("a")).alias("pixels"), count.alias("changed"), ink("b").alias("before_content"), ink("a").alias("after_content"))
 
 
 @query("""with f as (select vec_id, list_transform(embedding, lambda v: least(greatest(floor((v::double + 0.6) * 212.5 + 0.5), 0), 255)::int) as s from embeddings),
@@ -621,16 +616,14 @@ def sim_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _semantic(**more):
-    from .options import Options
+    from .options import Limits, Options
 
-    return Options(**({"mode": "semantic", "render": "none"} | more))
+    return Options(**({"mode": "semantic", "render": "none", "limits": Limits(pages=None)} | more))
 
 
 def _copies(spark: SparkSession, sf: str) -> DataFrame:
-    from .plans.compare import runs_of
-
-    e = B.copy_edges(B.documents(spark, sf))
-    return e.select("from_id", "to_id", runs_of("before").alias("before"), runs_of("after").alias("after"))
+    """Edges with plain texts: their lines become runs behind the exchange."""
+    return B.copy_edges(B.documents(spark, sf))
 
 
 EDGE = ("from_id", "to_id")
@@ -669,10 +662,10 @@ def op_compare_semantic_only(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op_compare_full(spark: SparkSession, sf: str) -> DataFrame:
     """With character rasters: alignment, changed pixels, regions and the page verdict."""
-    from .options import Options
+    from .options import Limits, Options
     from .plans.compare import compared
 
-    p = compared(_copies(spark, sf), EDGE, Options(mode="semantic"))
+    p = compared(_copies(spark, sf), EDGE, Options(mode="semantic", limits=Limits(pages=None)))
     return p.select(*EDGE, "pair_index", "status", "changed_pixels", F.round("changed_ratio", 6).alias("changed_ratio"), "dx", "dy", F.round("confidence", 6).alias("confidence"), F.size("regions").alias("regions"), F.concat_ws(",", "warnings").alias("warnings"))
 
 
@@ -729,10 +722,10 @@ def op_is_equal(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def agg_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Regions of changed pixels: 8-connected components with content counts."""
-    from .options import Options
+    from .options import Limits, Options
     from .plans.compare import compared, regions
 
-    return regions(compared(_copies(spark, sf), EDGE, Options()), EDGE)
+    return regions(compared(_copies(spark, sf), EDGE, Options(limits=Limits(pages=None))), EDGE)
 
 
 def _rendered(spark: SparkSession, sf: str, sided: bool) -> DataFrame:
@@ -743,7 +736,7 @@ def _rendered(spark: SparkSession, sf: str, sided: bool) -> DataFrame:
 
     def run(a: pa.Array, b: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
         rows = zip(a.to_pylist(), b.to_pylist(), before, after, strict=True)
-        return pa.array([diff_text(compare(revision(x.as_py(), B.PAGE, False), revision(y.as_py(), B.PAGE, False), o), str(i), str(j), sided) for i, j, x, y in rows], pa.string())
+        return pa.array([diff_text(compare(revision(x.as_py()), revision(y.as_py()), o), str(i), str(j), sided) for i, j, x, y in rows], pa.string())
 
     return spread(_copies(spark, sf), EDGE).select(*EDGE, F.arrow_udf(run, "string")("from_id", "to_id", "before", "after").alias("diff"))
 
@@ -777,14 +770,21 @@ def op_compare_figures(spark: SparkSession, sf: str) -> DataFrame:
     return spread(f.join(after, "revision_id"), ("revision_id",)).select("revision_id", F.explode(udf("before", "after")).alias("f")).select("revision_id", "f.*")
 
 
+def _sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation's adjacent turns compared as revisions of a set."""
+    from .plans.compare import compared
+    from .plans.sets import edge_columns
+
+    e = B.turn_edges(B.table(spark, sf, "conversations"))
+    revisions = [F.col("from_turn").cast("string").alias("from_revision"), F.col("to_turn").cast("string").alias("to_revision")]
+    ordinals = [F.col("edge_index").alias("from_ordinal"), (F.col("edge_index") + 1).alias("to_ordinal")]
+    return compared(e.select("set_id", "edge_index", *revisions, *ordinals, "before", "after"), edge_columns("set_id"), _semantic())
+
+
 def _operations(spark: SparkSession, sf: str) -> DataFrame:
-    from .plans.compare import compared, runs_of
     from .plans.sets import change_operations
 
-    e = B.turn_edges(B.table(spark, sf, "conversations"))
-    keys = ("set_id", "edge_index", "from_revision", "to_revision")
-    edges = e.select("set_id", "edge_index", F.col("from_turn").cast("string").alias("from_revision"), F.col("to_turn").cast("string").alias("to_revision"), runs_of("before").alias("before"), runs_of("after").alias("after"))
-    return change_operations(compared(edges, keys, _semantic()))
+    return change_operations(_sets(spark, sf))
 
 
 @query()
@@ -806,8 +806,8 @@ def op_render_set_inline(spark: SparkSession, sf: str) -> DataFrame:
                 first = {e["place"]["edge_index"]: e for e in reversed(o["evidence"])}
                 diffs = [{"from": e["from_revision"], "to": e["to_revision"], "hunks": e["hunks"]} for _, e in sorted(first.items())]
                 changes.append(o | {"comparisons": diffs, "visual": None if o["changed_pixels"] is None else {"changed_pixels": o["changed_pixels"], "changed_ratio": 0.0}})
-            who = {a["revision_id"] for c in changes for a in c["anchors"]}
-            out.append(set_text([(w, f"turn {w}") for w in sorted(who)], changes))
+            who = sorted({(a["ordinal"], a["revision_id"]) for c in changes for a in c["anchors"]})
+            out.append(set_text([(w, f"turn {w}") for _, w in who], changes))
         return pa.array(out, pa.string())
 
     fields = ("op_ordinal", "id", "kind", "source", "page_index", "anchors", "evidence", "changed_pixels")

@@ -16,6 +16,9 @@ from ..functions import columns as C
 
 PAGE = (612.0, 152.0)
 LINES = 8
+#: Ids of one range, whose texts meet in one task; and how many copies make an opening hot, which is then dealt by range.
+IDS = 1000
+HOT, MOST_HOT = 10_000, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,22 +44,40 @@ def text_run(docs: DataFrame) -> DataFrame:
 
 def next_id_edges(docs: DataFrame) -> DataFrame:
     """from_id, to_id, before, after: each document with the one whose id follows."""
-    a = docs.select(F.col("doc_id").alias("from_id"), F.col("text").alias("before"))
-    b = docs.select(F.col("doc_id").alias("to_id"), F.col("text").alias("after"))
-    return a.join(b, F.col("to_id") == F.col("from_id") + 1)
+    # dealt by ranges of ids, so a text moves once; the first of a range stands in the range before it too
+    own = F.floor(F.col("doc_id") / IDS)
+    ranges = F.when(F.col("doc_id") % IDS == 0, F.array(own, own - 1)).otherwise(F.array(own))
+    w = Window.partitionBy("__range").orderBy("doc_id")
+    rows = docs.filter("doc_id is not null").select("doc_id", "text", F.explode(ranges).alias("__range"))
+    linked = rows.select(F.lag("doc_id").over(w).alias("from_id"), F.col("doc_id").alias("to_id"), F.lag("text").over(w).alias("before"), F.col("text").alias("after"))
+    return linked.filter("from_id + 1 = to_id")
 
 
 def copy_edges(docs: DataFrame) -> DataFrame:
     """from_id, to_id, before, after: each document and the one before it, by id, that has the same first line."""
-    opening = F.xxhash64(F.element_at(F.split("text", "\n"), 1))
-    w = Window.partitionBy("opening").orderBy("doc_id")
-    ids = docs.select("doc_id", opening.alias("opening")).select(F.lag("doc_id").over(w).alias("from_id"), F.col("doc_id").alias("to_id")).filter("from_id is not null")
-    a, b = docs.select(F.col("doc_id").alias("from_id"), F.col("text").alias("before")), docs.select(F.col("doc_id").alias("to_id"), F.col("text").alias("after"))
-    return ids.join(a, "from_id").join(b, "to_id").select("from_id", "to_id", "before", "after")
+    rows = docs.filter("doc_id is not null").withColumn("opening", F.substring_index("text", "\n", 1))
+    hot = max(HOT, docs.count() // MOST_HOT)
+    cells = rows.withColumn("cell", F.lit(0).cast("long"))
+    ids = rows.select("opening", "doc_id")
+    many = ids.groupBy("opening").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(F.xxhash64("opening").alias("h"))
+    if not many.isEmpty():
+        # a hot opening is dealt by ranges of ids; the last id of a range stands in the next one as well
+        many = F.broadcast(many)  # at most MOST_HOT rows
+        cell = lambda rows: rows.withColumn("h", F.xxhash64("opening")).join(many.withColumn("is_hot", F.lit(True)), "h", "left").withColumn("cell", F.when(F.col("is_hot"), F.floor(F.col("doc_id") / hot)).otherwise(0)).drop("h", "is_hot")
+        last = cell(ids.withColumn("h", F.xxhash64("opening")).join(many, "h", "left_semi").drop("h")).groupBy("opening", "cell").agg(F.max("doc_id").alias("doc_id"))
+        after = F.lead("cell").over(Window.partitionBy("opening").orderBy("cell"))
+        again = last.select("opening", "doc_id", after.alias("cell")).filter("cell is not null").select("doc_id", "cell")
+        cells = cell(rows).unionByName(rows.join(again, "doc_id"))
+    w = Window.partitionBy("opening", "cell").orderBy("doc_id")
+    linked = cells.select(F.lag("doc_id").over(w).alias("from_id"), F.col("doc_id").alias("to_id"), F.lag("text").over(w).alias("before"), F.col("text").alias("after"))
+    return linked.filter("from_id is not null")
 
 
 def turn_edges(conversations: DataFrame) -> DataFrame:
-    """set_id, edge_index, from_turn, to_turn, before, after: adjacent turns of each conversation."""
+    """set_id, edge_index, from_turn, to_turn, before, after: adjacent turns of each conversation.
+
+    The ordinals of an edge's revisions are edge_index and edge_index + 1.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = conversations.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     lagged = rows.select(
