@@ -23,6 +23,7 @@ component has none; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 BLOCKS = 3
-#: Variants of one shard, about; and of one packed array.
-SHARD_ROWS, PACK_ROWS = 2_000_000, 4096
+#: Variants of one shard, about; the fewest shards; fingerprints that are packed together (their numbers have 16 bits).
+SHARD_ROWS, LEAST_SHARDS, PACK_ROWS = 2_000_000, 32, 32_768
 SMALL = 8
 
 
@@ -93,37 +94,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _emit(shards: int):
+    """Variants in arrays, one for each pack of fingerprints, block and shard that has some; sorted once per block."""
+
+    def pack(fps: np.ndarray) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for k, keys in variants(fps):
+            shard = ((_mix(keys.ravel() + np.uint64(k)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+            owner = np.tile(np.arange(len(fps)), len(keys))
+            bit = np.repeat(turned_bits(k), len(fps))
+            order = np.argsort(shard * PACK_ROWS + owner, kind="stable")
+            shard, owner, bit = shard[order], owner[order].astype(np.uint16), bit[order]
+            first = np.r_[True, shard[1:] != shard[:-1]]
+            fresh = first | np.r_[True, owner[1:] != owner[:-1]]  # each fingerprint once in an array, then its variants
+            who, number = fps[owner[fresh]], np.cumsum(fresh) - 1
+            starts = np.flatnonzero(first)
+            short = (number - np.repeat(number[starts], np.diff(np.r_[starts, len(shard)]))).astype(np.uint16)
+            for at, end in itertools.pairwise([*starts.tolist(), len(shard)]):
+                mine = who[number[at] : number[end - 1] + 1]
+                out.append((int(shard[at]), k, np.uint32(len(mine)).tobytes() + mine.tobytes() + short[at:end].tobytes() + bit[at:end].tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "block", "packed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for batch in batches:
-            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(every), PACK_ROWS):
-                fps = every[at : at + PACK_ROWS]
-                out: dict[str, list] = {"shard": [], "block": [], "packed": []}
-                for k, keys in variants(fps):
-                    flat, owner = keys.ravel(), np.tile(np.arange(len(fps), dtype=np.uint16), len(keys))
-                    shard = (_mix(flat + np.uint64(k)) >> np.uint64(33)) % np.uint64(shards)
-                    order = np.argsort(shard, kind="stable")
-                    cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-                    for s in range(shards):
-                        mine = order[cuts[s] : cuts[s + 1]]
-                        if len(mine):  # the fingerprints once, then for each variant its key and its owner
-                            who, short = np.unique(owner[mine], return_inverse=True)
-                            out["shard"].append(s)
-                            out["block"].append(k)
-                            out["packed"].append(np.uint32(len(who)).tobytes() + fps[who].tobytes() + short.astype(np.uint16).tobytes() + _turned(flat[mine], fps[who][short], k))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(out["shard"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "packed": pa.array(out["packed"], pa.binary())})
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            count += len(held[-1])
+            while count >= PACK_ROWS:
+                every = np.concatenate(held)
+                yield pack(every[:PACK_ROWS])
+                held, count = [every[PACK_ROWS:]], count - PACK_ROWS
+        if count:
+            yield pack(np.concatenate(held))
 
     return run
 
 
-def _turned(keys: np.ndarray, fps: np.ndarray, block: int) -> bytes:
-    """Which bit was turned for each variant (64: none), from which and the fingerprint the key follows."""
+def turned_bits(block: int) -> np.ndarray:
+    """The bit that each variant of ``variants`` has turned; 64: none."""
     first, bits = blocks()[block]
-    diff = (keys ^ fps) & np.uint64((1 << 64) - 1 ^ ((1 << bits) - 1) << first)
-    bit = np.full(len(diff), 64, np.uint8)
-    some = diff != 0
-    bit[some] = np.log2(diff[some].astype(np.float64)).astype(np.uint8)  # powers of two are exact
-    return bit.tobytes()
+    return np.array([64] + [i for i in range(64) if not first <= i < first + bits], np.uint8)
 
 
 def _unpack(packed: bytes, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,12 +194,12 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
 def near_links(distinct: DataFrame, count: int) -> DataFrame:
     """Links (a, b) between the distinct fingerprints in column fp; their components are those of all pairs within RADIUS."""
     per = sum(65 - bits for _, bits in blocks())
-    shards = max(4, -(-count * per // SHARD_ROWS))
+    shards = max(LEAST_SHARDS, -(-count * per // SHARD_ROWS))
     packed = distinct.select("fp").mapInArrow(_emit(shards), "shard int, block int, packed binary")
     return packed.groupBy("shard").applyInPandas(_meet, "a long, b long")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node that it reaches.
 
     Large-star: every node's larger neighbours attach to its smallest neighbour. Small-star: its smaller neighbours
@@ -197,7 +207,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     edges = checkpoint(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(most):
+    while True:  # the steps settle after about the logarithm of the longest path
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
@@ -208,8 +218,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
 
 
