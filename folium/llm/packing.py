@@ -16,7 +16,8 @@ Every step moves runs of equal bins, not single documents, so the driver's work
 lengths alone. A piece finds its sequence from its rank among the pieces of its length, computed with salted prefix sums.
 
 Edge cases: a null or empty text is one piece, the end token; ties in length are ranked by hash, then id and piece;
-repeated rows are packed as often as they occur; an empty table gives an empty result; other columns are not read.
+repeated rows are packed as often as they occur; an empty table gives an empty result; other columns are not read;
+a control string of the vocabulary inside a text is its one id, as the library has it.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import checkpoint, text_bytes
+from .common import checkpoint, free_name, text_bytes
 from .ranks import ranked, salts_for
 
 SEQUENCE = 1024
@@ -48,9 +51,7 @@ LATIN = "\u0250"
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # control strings inside a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(1)
@@ -82,6 +83,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.t, self.quick, self.known = _tokenizer(path), _ranks(path), {}
+        added = self.t.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added]  # control strings are found in the text before anything else
         self.marks = {m: self._ids(m) for m in ",.;:!?"}
 
     def _ids(self, text: str) -> bytes:
@@ -93,6 +96,8 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(s in text for s in self.special):
+            return self._ids(text)
         head, *rest = text.split(" ")
         if not head or head[-1].isspace():
             return self._ids(text)
@@ -143,22 +148,25 @@ def _pieces(path: str):
         encode = Encoder(path)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = encode((text.as_py() or b"").decode("utf-8", "replace")) + END.to_bytes(4, "little")
-                rows += [(doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4))]
+                rows += [(doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), at) for k, (s, n) in enumerate(cut(len(ids) // 4))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=[*NAMES, "row_place"])
 
     return run
 
 
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
-TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
 
 
-def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every text."""
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("b")).mapInArrow(_pieces(tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long")
+def pieces(docs: DataFrame, tokenizer: str, place: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every text; row_place if a column ``place`` is named."""
+    kept = F.lit(None).cast("long") if place is None else F.col(place)
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("b"), kept.alias("row_place"))
+    found = rows.mapInArrow(_pieces(tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long, row_place long")
+    return found if place is not None else found.drop("row_place")
 
 
 # --- packing of a histogram ------------------------------------------------------------------------------------------
@@ -319,10 +327,33 @@ def pack_once(histogram: dict[int, int], room: int, large: int, groups: int) ->
     return [run for r in sorted(runs.by_room) for run in runs.by_room[r]]
 
 
-def packed(docs: DataFrame, tokenizer: str, room: int = SEQUENCE) -> DataFrame:
-    """Every piece with sequence_id and offset: the pieces of a sequence stand gapless from 0 and fill at most ``room``."""
+def in_order(docs: DataFrame) -> DataFrame:
+    """The rows with ``row_place``: a long that grows along them as they were written or, where they aren't a plain
+    read of files, as they stand in the partitions."""
+    name = free_name(docs, "row_place")
+    try:
+        file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        part = F.regexp_extract(file, r"part-(\d+)", 1)
+        return docs.select("*", (F.when(part == "", 0).otherwise(part).cast("long") * (1 << 40) + row).alias(name))
+    except AnalysisException:
+        return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def packed_in_order(docs: DataFrame, tokenizer: str, room: int = SEQUENCE) -> DataFrame:
+    """``packed`` with ``place``: sequences sorted by it follow the order of ``docs``, each by the first of its pieces."""
+    ordered = in_order(docs)
+    rows = packed(ordered, tokenizer, room, ordered.columns[-1])
+    piece_at = F.col("row_place").cast("decimal(38,0)") * (1 << 31) + F.col("piece")  # a row has fewer than 2**31 pieces
+    return rows.withColumn("place", F.min(piece_at).over(Window.partitionBy("sequence_id"))).drop("row_place")
+
+
+def packed(docs: DataFrame, tokenizer: str, room: int = SEQUENCE, place: str | None = None) -> DataFrame:
+    """Every piece with sequence_id and offset: the pieces of a sequence stand gapless from 0 and fill at most ``room``.
+
+    ``place``: a long column of ``docs`` that pieces keep, as ``row_place``.
+    """
     spark = docs.sparkSession
-    rows = checkpoint(pieces(docs, tokenizer))
+    rows = checkpoint(pieces(docs, tokenizer, place))
     count = rows.count()
     salt = F.xxhash64("doc_id", "piece", "ids_crc32")
     ranks, totals = ranked(rows.withColumn("h", salt), "length", ["h", "doc_id", "piece"], F.col("h"), "rank", salts_for(count))
@@ -338,4 +369,4 @@ def packed(docs: DataFrame, tokenizer: str, room: int = SEQUENCE) -> DataFrame:
     places = spark.createDataFrame(cells, "cell_length long, first long, end long, sequence long, offset long")
     # one row per slot of a run; runs follow from the distinct lengths (below ``room``), not from the input's size
     joined = ranks.join(F.broadcast(places), F.expr("length = cell_length and rank >= first and rank < end"))
-    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("sequence + rank - first").alias("sequence_id"), "offset")
+    return joined.select(*NAMES, F.expr("sequence + rank - first").alias("sequence_id"), "offset", *["row_place"][: place is not None])
