@@ -20,11 +20,11 @@ from .textstats import stats
 
 #: Votes per rule: (bad if, good if) as SQL over the counts; neither: the rule abstains.
 RULES: dict[str, tuple[str, str]] = {
-    "symbols": ("n_symbols > 0.06 * word_chars", "false"),
+    "symbols": ("n_symbols > 0.06 * word_chars", "n_symbols <= 0.002 * word_chars"),
     "capitals": ("n_upper > 0.35 * word_chars", "false"),
     "adjacent": ("n_adjacent > 0.2 * n_words", "false"),
     "repeats": ("n_repeat_words > 0.4 * n_words", "false"),
-    "lines": ("n_dup_lines > 0.4 * n_lines and n_lines >= 3", "false"),
+    "lines": ("n_dup_lines > 0.4 * n_lines and n_lines >= 3", "n_dup_lines = 0 and n_lines >= 3"),
     "marks": ("n_marks > 0.2 * n_words", "false"),
     "pipes": ("n_pipes > 0.2 * n_words", "false"),
     "prose": ("n_stops = 0 and n_words >= 50", "n_stops between 0.05 * n_words and 0.7 * n_words"),
@@ -47,7 +47,7 @@ def votes(rules: dict[str, tuple[str, str]] | None = None) -> Column:
     return F.expr(" + ".join(digits)).cast("int")
 
 
-def fit(patterns: np.ndarray, weights: np.ndarray, n_rules: int, rounds: int = 200) -> np.ndarray:
+def fit(patterns: np.ndarray, weights: np.ndarray, n_rules: int, rounds: int = 1000) -> np.ndarray:
     """Posterior probability of good for every possible pattern, by EM on pattern counts.
 
     Each rule has for each class a distribution over its three votes. Pseudo-documents, PRIOR_SHARE of the corpus,
@@ -69,9 +69,11 @@ def fit(patterns: np.ndarray, weights: np.ndarray, n_rules: int, rounds: int = 2
         for _ in range(rounds):
             good = posterior(seen)
             new = np.stack([np.einsum("p,prv->rv", weights * g, hot) + q for g, q in ((good, prior[0]), (1 - good, prior[1]))])
-            table, before = new / new.sum(2, keepdims=True), share
-            share = float(np.clip((weights * good).sum() / weights.sum(), 0.02, 0.98))
-            if abs(share - before) < 1e-9:
+            new /= new.sum(2, keepdims=True)
+            part = float(np.clip((weights * good).sum() / weights.sum(), 0.02, 0.98))
+            moved = max(abs(part - share), float(np.abs(new - table).max()))
+            table, share = new, part
+            if moved < 1e-9:
                 break
     return posterior(every)
 
