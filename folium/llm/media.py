@@ -484,7 +484,7 @@ def tensors(media: DataFrame, column: str = "media") -> DataFrame:
     return media.withColumn("rgb", F.arrow_udf(run, kind)(F.col(column)))
 
 
-DIGEST = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+DIGEST = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("tensor_sha256", pa.string())])
 
 
 def _digests(files: pa.Array) -> pa.Array:
@@ -492,13 +492,13 @@ def _digests(files: pa.Array) -> pa.Array:
     for f in files:
         data = f.as_py()
         image = decode(data)
-        payload = payload_of(image)
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(rgb(image))))
+        payload, tensor = payload_of(image), rgb(image)
+        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(tensor), *tensor.shape[:2], hashlib.sha256(tensor.tobytes()).hexdigest()))
     return pa.array([dict(zip([x.name for x in DIGEST], r, strict=True)) for r in rows], DIGEST)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and what is read back from each stored file."""
-    kind = "struct<payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>"
+    """doc_id, n_bytes and what is read back from each stored file: its payload, and its tensor as ``tensors`` stores it."""
+    kind = "struct<payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string,height:int,width:int,tensor_sha256:string>"
     read = store(docs).select("doc_id", "n_bytes", F.arrow_udf(_digests, kind)("media").alias("d"))
     return read.select("doc_id", "n_bytes", "d.*")
