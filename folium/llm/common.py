@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut ``df``'s lineage with a reliable checkpoint.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where none is set (local tests) a
-    temporary one is used.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Where none is set, a local session (tests) uses
+    a temporary one; on a cluster, whose executors could not share it, that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folium-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folium-"))
     return df.checkpoint(eager=True)
 
 

@@ -226,7 +226,8 @@ def mixed(docs: DataFrame, targets: dict[str | None, float] | None = None, block
     ``position`` runs gapless from 0 over all rows.
     """
     spark = docs.sparkSession
-    rows = checkpoint(docs.select("doc_id", F.col(source_col).alias("source"), F.xxhash64("doc_id").alias("h")))
+    h = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(F.monotonically_increasing_id()))  # rows without an id spread too
+    rows = checkpoint(docs.select("doc_id", F.col(source_col).alias("source"), h.alias("h")))
     by = {r[0]: r[1] for r in rows.groupBy("source").count().collect()}
     names = sorted(by, key=lambda s: (s is not None, s))
     if targets is None:
