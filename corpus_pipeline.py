@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folium.llm.common import checkpoint, table
 from folium.llm.mixing import in_mixed_order
-from folium.llm.packing import packed
+from folium.llm.packing import packed_in_order
 from folium.llm.quality_classifier import keep_good as keep_scored
 from folium.llm.quality_rules import keep_good as keep_by_rules
 from folium.llm.simhash import one_of_each
@@ -35,10 +35,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents with their sequences; by ``place`` the sequences follow the mixed order."""
     import public_tokenizers
 
-    return packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed_in_order(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
