@@ -17,12 +17,15 @@ SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005
 SPACES = re.compile(f"[{SPACE_CLASS}]+")
 TOKENS = regex.compile(rf"[\p{{Alphabetic}}\p{{N}}_]+|[^{SPACE_CLASS}]")
 CLOSING, OPENING = tuple(".,;:!?%)]}"), tuple("([{")
+NO_GAP_BEFORE, NO_GAP_AFTER = {*CLOSING, "'", "’"}, {*OPENING, "'", "’"}
 LIST_MARKER = re.compile(rf"[{SPACE_CLASS}]*(?:[-*•–—](?:[{SPACE_CLASS}]|$)|(?:[0-9]+|[A-Za-z])[.)][{SPACE_CLASS}])")
 
 
 def squeeze(text: str) -> str:
     """White space collapsed to single spaces and trimmed."""
-    return SPACES.sub(" ", text).strip(" ")
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split takes these for white space too
+        return SPACES.sub(" ", text).strip(" ")
+    return " ".join(text.split())
 
 
 @lru_cache(4096)
@@ -44,7 +47,7 @@ def joined(left: str, right: str) -> str:
 
 def token_gap(left: str, right: str) -> bool:
     """Whether a space stands between two tokens; apostrophes bind on both sides."""
-    return not (right.startswith((*CLOSING, "'", "’")) or left.endswith((*OPENING, "'", "’")))
+    return not (right[:1] in NO_GAP_BEFORE or left[-1:] in NO_GAP_AFTER)
 
 
 def flow(lines: Sequence[str]) -> str:
@@ -182,23 +185,27 @@ def inline(before: str, after: str) -> tuple[list[Span], list[Span]]:
     a, b = tokens(before), tokens(after)
     if too_large(len(a), len(b)):
         return [("removed", before)], [("added", after)]
-    left: list[list[str]] = []
-    right: list[list[str]] = []
-
-    def put(side: list[list[str]], kind: str, token: str) -> None:
-        if side and token_gap(side[-1][1], token):
+    left: list[list] = []
+    right: list[list] = []
+
+    def put(side: list[list], kind: str, token: str) -> None:
+        if not side:
+            side.append([kind, [token]])
+            return
+        last = side[-1]
+        if not (token[:1] in NO_GAP_BEFORE or last[1][-1][-1:] in NO_GAP_AFTER):
             token = " " + token
-        if side and side[-1][0] == kind:
-            side[-1][1] += token
+        if last[0] == kind:
+            last[1].append(token)
         else:
-            side.append([kind, token])
+            side.append([kind, [token]])
 
     for op, i, j in walk(a, b):
         if op != "+":
             put(left, "equal" if op == "=" else "removed", a[i])
         if op != "-":
             put(right, "equal" if op == "=" else "added", b[j])
-    return [(k, t) for k, t in left], [(k, t) for k, t in right]
+    return [(k, "".join(t)) for k, t in left], [(k, "".join(t)) for k, t in right]
 
 
 def changed_text(before: str, after: str, kind: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -399,50 +400,13 @@ def join_set_edges(spark: SparkSession, sf: str) -> DataFrame:
     return r.filter("edge_index >= 0").select("set_id", "edge_index", "from_turn", "to_turn")
 
 
-SET_SQL = f"""{TURNS}, c as (select set_id, edge_index, before = after as equal,
-  len(list_filter(list_zip(string_split(before, chr(10)), string_split(after, chr(10))), lambda z: z[1] is distinct from z[2])) as changed_lines from edges)"""
-
-
-def set_comparisons(spark: SparkSession, sf: str) -> DataFrame:
-    e = B.turn_edges(B.table(spark, sf, "conversations"))
-    z = F.arrays_zip(F.split("before", "\n").alias("b"), F.split("after", "\n").alias("a"))
-    return e.select("set_id", "edge_index", (F.col("before") == F.col("after")).alias("equal"), F.size(F.filter(z, lambda p: ~p.a.eqNullSafe(p.b))).alias("changed_lines"))
-
-
-@query(f"with {SET_SQL} select set_id, edge_index, equal, changed_lines from c")
-def agg_set_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return set_comparisons(spark, sf)
-
-
-@query(f"with {SET_SQL} select set_id, count(*) as edges, bool_and(equal) as equal, sum(changed_lines)::bigint as changed_lines from c group by 1")
-def agg_set_equal(spark: SparkSession, sf: str) -> DataFrame:
-    return set_comparisons(spark, sf).groupBy("set_id").agg(F.count("*").alias("edges"), F.every("equal").alias("equal"), F.sum("changed_lines").alias("changed_lines"))
-
-
 @query("select conv_id as set_id, count(*) as revisions, count(distinct turn) < count(*) as repeated, count(*) between 2 and 64 as valid from conversations group by 1")
 def set_distinct_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Repeated revision ids and the limits of a set (lim_set_size, agg_revision_page_count's grouping)."""
+    """Repeated revision ids and the limits of a set (lim_set_size)."""
     c = B.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("set_id")).agg(F.count("*").alias("revisions"), F.count_distinct("turn").alias("d"))
     return c.select("set_id", "revisions", (F.col("d") < F.col("revisions")).alias("repeated"), F.col("revisions").between(2, 64).alias("valid"))
 
 
-@query(f"""with t as (select conv_id as set_id, turn, lower({NORM}) as key from conversations)
-select set_id, md5(key) as variant, count(*) as anchors, string_agg(turn::varchar, ',' order by turn) as revisions from t group by set_id, key""")
-def agg_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct normalised texts of a set with the revisions that have them."""
-    t = B.table(spark, sf, "conversations").select(F.col("conv_id").alias("set_id"), "turn", C.variant_key(F.col("text")).alias("key"))
-    g = t.groupBy("set_id", "key").agg(F.count("*").alias("anchors"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list("turn")), lambda x: x.cast("string"))).alias("revisions"))
-    return g.select("set_id", F.md5("key").alias("variant"), "anchors", "revisions")
-
-
-@query(f"""with {TURNS}, k as (select set_id, case when length(after) > length(before) then 'added' when length(after) < length(before) then 'removed' else 'modified' end as kind from edges)
-select set_id, case when count(distinct kind) = 1 then min(kind) else 'diverged' end as kind from k group by 1""")
-def agg_kind_merge(spark: SparkSession, sf: str) -> DataFrame:
-    e = B.turn_edges(B.table(spark, sf, "conversations"))
-    n, m = F.length("before"), F.length("after")
-    return e.select("set_id", F.when(m > n, "added").when(m < n, "removed").otherwise("modified").alias("kind")).groupBy("set_id").agg(C.merged_kind(F.col("kind")).alias("kind"))
-
-
 @query(f"""with {PAGES}, s as (select from_id, page_index, after_page, {STATUS} as status from paired)
 select from_id, page_index, status, row_number() over (partition by from_id order by after_page nulls last, page_index) as operation_index from s where status <> 'equal'""")
 def srt_operations(spark: SparkSession, sf: str) -> DataFrame:
@@ -585,13 +549,19 @@ PIXELS = f"""{EDGES}, px as (select from_id, list_transform(regexp_extract_all(b
 def agg_changed_pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Changed and content pixels of every edge's character rasters without a shift; what a side lacks is white
     (prd_pixel_changed, prd_content_pixel)."""
-    grey = lambda c: F.expr(f"transform(regexp_extract_all({c}, '(?s).', 0), c -> if(c rlike '^[\\\\x09-\\\\x0d ]$', 255, ascii(c) % 200))")
-    e = B.next_id_edges(B.documents(spark, sf)).select("from_id", grey("before").alias("b"), grey("after").alias("a"))
-    white = F.lit(255)
-    differs = F.zip_with("b", "a", lambda x, y: F.abs(F.coalesce(x, white) - F.coalesce(y, white)) > 8)
-    ink = lambda c: F.size(F.filter(c, lambda v: C.is_ink(v, v, v)))
-    count = F.size(F.filter(differs, lambda x: x))
-    return e.select("from_id", F.greatest(F.size("b"), F.size("a")).alias("pixels"), count.alias("changed"), ink("b").alias("before_content"), ink("a").alias("after_content"))
+    # by Arrow: as higher-order functions over an array of characters this took some ten times as long
+    kind = pa.struct([(n, pa.int64()) for n in ("pixels", "changed", "before_content", "after_content")])
+
+    def run(before: pa.Array, after: pa.Array) -> pa.Array:
+        rows = []
+        for a, b in zip(before, after, strict=True):
+            x, y = B.grey(a.as_py()), B.grey(b.as_py())
+            p, q = (np.pad(v, (0, max(len(x), len(y)) - len(v)), constant_values=255) for v in (x, y))
+            rows.append({"pixels": len(p), "changed": int((np.abs(p - q) > 8).sum()), "before_content": int((x < 245).sum()), "after_content": int((y < 245).sum())})
+        return pa.array(rows, kind)
+
+    udf = F.arrow_udf(run, "struct<pixels:long,changed:long,before_content:long,after_content:long>")
+    return B.next_id_edges(B.documents(spark, sf)).select("from_id", udf("before", "after").alias("p")).select("from_id", "p.*")
 
 
 @query("""with f as (select vec_id, list_transform(embedding, lambda v: least(greatest(floor((v::double + 0.6) * 212.5 + 0.5), 0), 255)::int) as s from embeddings),
@@ -650,15 +620,6 @@ def arr_lcs_table(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("from_id", "to_id", F.size("b").alias("n"), F.size("a").alias("k"), F.arrow_udf(run, "long")("b", "a").alias("lcs"))
 
 
-@query()
-def op_compare_semantic_only(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts of documents that open alike: statuses, warnings and changed lines per page pair."""
-    from .plans.compare import compared
-
-    p = compared(_copies(spark, sf), EDGE, _semantic())
-    return p.select(*EDGE, "pair_index", "before_page", "after_page", "status", "quality", "equal", "changed_lines", F.size("changes").alias("changes"), F.size("blocks").alias("blocks"), F.concat_ws(",", "warnings").alias("warnings"))
-
-
 @query()
 def op_compare_full(spark: SparkSession, sf: str) -> DataFrame:
     """With character rasters: alignment, changed pixels, regions and the page verdict."""
@@ -703,22 +664,6 @@ def op_text_stream(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(*EDGE, "pair_index", "block_ordinal", "id", "side", "kind", "structure", F.round("confidence", 6).alias("confidence"), "before_text", "after_text", "before_role", "after_role", "changed_lines")
 
 
-@query()
-def agg_document_text_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdict and totals per pair of copies: the flagship summary."""
-    from .plans.compare import compared, documents
-
-    return documents(compared(_copies(spark, sf), EDGE, _semantic()), EDGE)
-
-
-@query()
-def op_is_equal(spark: SparkSession, sf: str) -> DataFrame:
-    """The fast path of equality, which stops at the first difference."""
-    from .plans.compare import equal_edges
-
-    return equal_edges(_copies(spark, sf), EDGE, _semantic())
-
-
 @query()
 def agg_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Regions of changed pixels: 8-connected components with content counts."""
@@ -863,3 +808,6 @@ def str_inline_words(spark: SparkSession, sf: str) -> DataFrame:
 
     e = spread(B.turn_edges(B.table(spark, sf, "conversations")), ("set_id", "edge_index"))
     return e.select("set_id", "edge_index", F.arrow_udf(run, kind)("before", "after").alias("d")).select("set_id", "edge_index", "d.*")
+
+
+from . import verdict_queries  # noqa: E402,F401  registers its queries
