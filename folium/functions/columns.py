@@ -115,6 +115,19 @@ def overlap_share(a: Column, b: Column) -> Column:
     return F.when(least > 0, overlap(a, b) / least).otherwise(0.0)
 
 
+def dimension_similarity(a: Column, b: Column) -> Column:
+    return F.when(F.greatest(a, b) > 0, F.least(a, b) / F.greatest(a, b)).otherwise(1.0)
+
+
+def line_distance(a: Column, b: Column) -> Column:
+    return F.abs((a.y + a.height / 2) - (b.y + b.height / 2))
+
+
+def block_geometry(a: Column, b: Column) -> Column:
+    """1 where two boxes match by position, a half where they are near, else 0."""
+    return F.when(positional(a, b), 1.0).when(distance(a, b) <= 3 * F.greatest(a.width, a.height, b.width, b.height), 0.5).otherwise(0.0)
+
+
 def positional(a: Column, b: Column) -> Column:
     shared = overlap(a, b)
     return F.when(shared > 0, shared / (area(a) + area(b) - shared) >= 0.12).otherwise(distance(a, b) <= 1.5 * F.greatest(a.width, a.height, b.width, b.height))

@@ -66,7 +66,7 @@ def role_key(text: str) -> str:
     t = re.sub("[0-9]+", _NUMBER, squeeze(text))
     while " " + _NUMBER in t:
         t = t.replace(" " + _NUMBER, _NUMBER + " ")
-    return re.sub(" +", " ", t.replace(_NUMBER, "#")).strip().lower()
+    return re.sub(" +", " ", t.replace(_NUMBER, "#")).strip(" ").lower()
 
 
 def is_list_marker(text: str) -> bool:

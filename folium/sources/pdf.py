@@ -211,22 +211,32 @@ PAGES = (
 )
 
 
-def _rows(path: str, data: bytes, limits: Limits) -> Iterator[dict]:
-    name = re.sub(r"\.[^./]*$", "", path.rsplit("/", 1)[-1]) or path
-    own = {"path": path, "revision_id": name}
+def page_structs(data: bytes, limits: Limits) -> dict:
+    """A file's pages as structs, or its error and message."""
     box = lambda b: {"x": b.x, "y": b.y, "width": b.width, "height": b.height}
     try:
         r = Reader(data)
         if limits.pages is not None and len(r.pages) > limits.pages:
             raise ComparisonError("page-limit-exceeded", f"{len(r.pages)} pages")
+        pages = []
         for k in range(len(r.pages)):
             w, h, runs, figures, bad = r.page(k)
             shown = [{"text": x.text, "bounds": box(x.box), "fragments": [{"text": f.text, "bounds": box(f.box)} for f in x.fragments]} for x in runs]
-            yield own | {"page_index": k, "width": w, "height": h, "replaced": bad, "runs": shown, "figures": [{"bounds": box(b), "content_hash": f"{c:016x}"} for b, c in figures]}
+            pages.append({"page_index": k, "width": w, "height": h, "replaced": bad, "runs": shown, "figures": [{"bounds": box(b), "content_hash": f"{c:016x}"} for b, c in figures]})
+        return {"pages": pages}
     except ComparisonError as e:
-        yield own | {"error": e.code, "message": str(e)}
+        return {"error": e.code, "message": str(e)}
     except (ValueError, zlib.error, IndexError, RecursionError) as e:
-        yield own | {"error": "text-extraction", "message": words.short_error(str(e))}
+        return {"error": "text-extraction", "message": words.short_error(str(e))}
+
+
+def _rows(path: str, data: bytes, limits: Limits) -> Iterator[dict]:
+    own = {"path": path, "revision_id": re.sub(r"\.[^./]*$", "", path.rsplit("/", 1)[-1]) or path}
+    found = page_structs(data, limits)
+    if "pages" not in found:
+        yield own | found
+    for page in found.get("pages", ()):
+        yield own | page
 
 
 def read_pdf(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
