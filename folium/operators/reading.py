@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 from itertools import pairwise
@@ -34,6 +37,8 @@ def clean(runs: Sequence[Run]) -> list[Run]:
 
 def grouped(runs: Sequence[Run]) -> list[list[Run]]:
     """Each run, in input order, joins the line with the closest member among lines that have one on its level."""
+    if len(runs) > 32:
+        return _grouped_many(runs)
     lines: list[list[Run]] = []
     for run in runs:
         near = [
@@ -48,6 +53,35 @@ def grouped(runs: Sequence[Run]) -> list[list[Run]]:
     return lines
 
 
+def _grouped_many(runs: Sequence[Run]) -> list[list[Run]]:
+    """The same for pages of many runs, which are found by cells as wide and tall as a run on the same line can be away."""
+    tall = max([1.0, *(r.box.height for r in runs)])
+    reach = max(8 * tall, 32.0)
+    cells: dict[tuple[int, int], list[tuple[Box, int]]] = defaultdict(list)
+    levels: list[list[float]] = []  # the sorted middles of each line's members
+    lines: list[list[Run]] = []
+
+    def closest(k: int, cy: float) -> float:
+        at = bisect_left(levels[k], cy)
+        return min(abs(cy - m) for m in levels[k][max(at - 1, 0) : at + 1])
+
+    for run in runs:
+        b, row = run.box, math.floor(run.box.cy / tall)
+        columns = range(math.floor((b.x - reach) / reach), math.floor((b.right + reach) / reach) + 1)
+        near = {k for c in columns for r in (row - 1, row, row + 1) for box, k in cells.get((c, r), ()) if boxes.same_line(box, b)}
+        if near:
+            k = min((closest(k, b.cy), k) for k in near)[1]
+        else:
+            k = len(lines)
+            lines.append([])
+            levels.append([])
+        lines[k].append(run)
+        insort(levels[k], b.cy)
+        for c in range(math.floor(b.x / reach), math.floor(b.right / reach) + 1):
+            cells[c, row].append((b, k))
+    return lines
+
+
 def line_of(members: Sequence[Run]) -> Run:
     """One run from a line's members, left to right."""
     across = sorted(members, key=lambda r: r.box.x)

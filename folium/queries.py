@@ -245,17 +245,6 @@ def boxes_around(rows: DataFrame, *keys: str) -> DataFrame:
     return g.select(*keys, "x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("b") - F.col("y")).alias("height"))
 
 
-@query(f"""with {RUNS}, changed as (select *, regexp_matches(text, '[0-9]') as hit, (max(run_index) over p)::int as last from runs window p as (partition by revision_id, page_index)),
-spans as (select revision_id, page_index, run_index, greatest(run_index - 1, 0) as a, least(run_index + 2, last + 1) as b from changed where hit),
-cut as (select *, case when a <= max(b) over (partition by revision_id, page_index order by run_index rows between unbounded preceding and 1 preceding) then 0 else 1 end as starts from spans),
-num as (select *, sum(starts) over (partition by revision_id, page_index order by run_index) as hunk from cut)
-select revision_id, page_index, hunk::bigint as hunk, min(a)::int as first_line, max(b)::int as end_line, count(*) as changed from num group by all""")
-def win_hunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Hunks with one line of context around the lines that hold digits."""
-    rows = B.text_run(B.documents(spark, sf)).withColumn("hit", F.col("text").rlike("[0-9]"))
-    return hunks(rows, ["revision_id", "page_index"], "run_index", "hit", 1)
-
-
 def hunks(rows: DataFrame, keys: list[str], at: str, hit: str, context: int) -> DataFrame:
     """Gaps and islands: each hit with its context, merged where ranges touch."""
     spans = rows.withColumn("last", F.max(at).over(Window.partitionBy(*keys))).filter(hit).select(
@@ -522,14 +511,6 @@ def prj_page_pixels(spark: SparkSession, sf: str) -> DataFrame:
     return B.figures(spark, sf).select("revision_id", "figure_index", C.page_pixels(b.width, 144).alias("width"), C.page_pixels(b.height, 144).alias("height"))
 
 
-@query("""with g as (select l_partkey, l_orderkey, l_linenumber, l_quantity, row_number() over (partition by l_partkey order by l_quantity desc, l_orderkey, l_linenumber) as rank from lineitem)
-select l_partkey, l_orderkey, l_linenumber, rank from g where rank <= 24""")
-def topk_visual_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """The 24 largest of each group."""
-    w = Window.partitionBy("l_partkey").orderBy(F.col("l_quantity").desc(), "l_orderkey", "l_linenumber")
-    return B.table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.row_number().over(w).alias("rank")).filter("rank <= 24")
-
-
 @query("""select o_orderstatus as phase, min(o_totalprice) as min, round(quantile_cont(o_totalprice, 0.5), 4) as p50, round(avg(o_totalprice), 4) as mean, max(o_totalprice) as max from orders group by 1""")
 def agg_benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("o_totalprice")
@@ -664,15 +645,6 @@ def op_text_stream(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(*EDGE, "pair_index", "block_ordinal", "id", "side", "kind", "structure", F.round("confidence", 6).alias("confidence"), "before_text", "after_text", "before_role", "after_role", "changed_lines")
 
 
-@query()
-def agg_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Regions of changed pixels: 8-connected components with content counts."""
-    from .options import Limits, Options
-    from .plans.compare import compared, regions
-
-    return regions(compared(_copies(spark, sf), EDGE, Options(limits=Limits(pages=None))), EDGE)
-
-
 def _rendered(spark: SparkSession, sf: str, sided: bool) -> DataFrame:
     from .plans.compare import compare, revision, spread
     from .render import diff_text
@@ -741,16 +713,13 @@ def op_document_set(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op_render_set_inline(spark: SparkSession, sf: str) -> DataFrame:
     """Every set's change operations as a revision-labelled diff."""
+    from .__main__ import as_change
     from .render import set_text
 
     def run(ops: pa.Array) -> pa.Array:
         out = []
         for rows in ops:
-            changes = []
-            for o in rows.as_py() or ():
-                first = {e["place"]["edge_index"]: e for e in reversed(o["evidence"])}
-                diffs = [{"from": e["from_revision"], "to": e["to_revision"], "hunks": e["hunks"]} for _, e in sorted(first.items())]
-                changes.append(o | {"comparisons": diffs, "visual": None if o["changed_pixels"] is None else {"changed_pixels": o["changed_pixels"], "changed_ratio": 0.0}})
+            changes = [as_change(o) for o in rows.as_py() or ()]
             who = sorted({(a["ordinal"], a["revision_id"]) for c in changes for a in c["anchors"]})
             out.append(set_text([(w, f"turn {w}") for _, w in who], changes))
         return pa.array(out, pa.string())
@@ -810,4 +779,4 @@ def str_inline_words(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("set_id", "edge_index", F.arrow_udf(run, kind)("before", "after").alias("d")).select("set_id", "edge_index", "d.*")
 
 
-from . import verdict_queries  # noqa: E402,F401  registers its queries
+from . import page_queries, verdict_queries  # noqa: E402,F401  register their queries

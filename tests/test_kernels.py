@@ -266,3 +266,19 @@ def test_options():
             set_edges(ids)
     assert resolve_password("x", "y") == "x" and resolve_password(None, "y") == "y"
     assert [exit_code(True), exit_code(False), exit_code(False, exit_on_difference=False), exit_code(None, "pdfium"), exit_code(None, "cancelled")] == [0, 1, 0, 2, 130]
+
+
+def test_lines_of_many_runs_are_those_of_few(monkeypatch):
+    from folium.operators import reading
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 150):
+        runs = [run(str(k), float(rng.integers(0, 900)), float(rng.integers(0, 120)), float(rng.integers(5, 60)), float(rng.integers(0, 20))) for k in range(n)]
+        many = reading._grouped_many(runs)
+        monkeypatch.setattr(reading, "_grouped_many", lambda r: None)
+        few = []
+        for r in runs:  # by definition
+            near = [(min(abs(r.box.cy - m.box.cy) for m in line), k) for k, line in enumerate(few) if any(boxes.same_line(m.box, r.box) for m in line)]
+            few[min(near)[1]].append(r) if near else few.append([r])
+        monkeypatch.undo()
+        assert many == few
