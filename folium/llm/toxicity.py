@@ -40,7 +40,7 @@ SAMPLE_ROWS = 20_000
 PREDICT_AT = 0.7
 PRIOR, LEAST_WEIGHT, DRIFT = 0.02, 1.0, 0.02
 #: Standard errors that a weight must be away from zero: what is tried, on how many rows and folds of the learnable ones.
-ZS, CHOICE_ROWS, FOLDS = (2.0, 2.5, 3.0), 6000, 3
+ZS, CHOICE_ROWS, CHOICE_TASKS, FOLDS = (2.0, 2.5, 3.0), 6000, 24, 3
 STEMS = range(4, 10)
 E_VALUE = 0.01
 #: Words whose weights a worker remembers.
@@ -313,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None) ->
     counts = checkpoint(once.mapInArrow(_count, f"word binary, {kinds}").groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]))
     first = lambda fold: {z: Model(w, rest, karlin_lambda(share)) for z, (w, rest, share) in log_odds(without(counts, fold)).items()}
     tried = [(z, fold, m) for fold in range(FOLDS) for z, m in first(fold).items()]
-    some = sample.orderBy(F.xxhash64("b", F.lit(1)), "y").limit(CHOICE_ROWS)
+    some = checkpoint(sample.orderBy(F.xxhash64("b", F.lit(1)), "y").limit(CHOICE_ROWS).repartition(CHOICE_TASKS))  # a limit leaves one task
     lost = dict.fromkeys(ZS, 0.0)
     for (z, _, _), (model, held) in zip(tried, calibrated(some, [(m, fold) for _, fold, m in tried]), strict=True):
         lost[z] += loss(model, held)
