@@ -6,7 +6,7 @@ from folium.operators.reading import Run
 from folium.options import Options
 from folium.plans.compare import Page, compare, compared, documents, is_equal, review_stream, runs_of
 from folium.plans.sets import change_operations
-from folium.streaming.series import adjacent
+from folium.streaming.series import adjacent, against_baseline
 
 TEXT = Options(mode="semantic", render="none")
 
@@ -62,13 +62,28 @@ def test_adjacent_stream(spark, tmp_path):
     schema = "conv_id long, turn long, text string"
     q = adjacent(spark.readStream.schema(schema).json(str(tmp_path))).writeStream.outputMode("append").format("memory").queryName("series").start()
     try:
-        for k, rows in enumerate([[(1, 0, "a"), (1, 1, "a\nb"), (2, 0, "x")], [(1, 2, "a\nb"), (2, 1, "y")]]):
+        for k, rows in enumerate([[(1, 0, "a"), (1, 1, "a\nb"), (2, 0, "x")], [(1, 2, "a\nb"), (2, 1, "y")], [(2, 0, "late"), (2, 2, "y")]]):
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / f"d{k}"))
             for f in os.listdir(tmp_path / f"d{k}"):
                 if f.startswith("part"):
                     os.rename(tmp_path / f"d{k}" / f, tmp_path / f"{k}.json")
             q.processAllAvailable()
-        got = sorted((r.set_id, r.from_turn, r.to_turn, r.equal, r.changed_lines) for r in spark.table("series").collect())
+        got = sorted((r.set_id, r.to_turn, r.from_turn, r.equal, r.changed_lines, r.late) for r in spark.table("series").collect())
     finally:
         q.stop()
-    assert got == [(1, 0, 1, False, 1), (1, 1, 2, True, 0), (2, 0, 1, False, 2)]
+    assert got == [(1, 1, 0, False, 1, False), (1, 2, 1, True, 0, False), (2, 0, None, None, None, True), (2, 1, 0, False, 2, False), (2, 2, 1, True, 0, False)]
+
+
+def test_baseline_stream(spark, tmp_path):
+    schema = "conv_id long, turn long, text string"
+    spark.createDataFrame([(1, 1, "a\nc"), (1, 2, "a"), (2, 1, None)], schema).write.json(str(tmp_path / "d"))
+    base = spark.createDataFrame([(1, 0, "a"), (2, 0, "x")], schema)
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "d"))
+    q = against_baseline(stream, base).writeStream.outputMode("append").format("memory").queryName("baseline").start()
+    try:
+        q.processAllAvailable()
+        got = sorted((r.set_id, r.to_turn, r.from_turn, r.equal, r.changed_lines) for r in spark.table("baseline").collect())
+    finally:
+        q.stop()
+    assert got == [(1, 1, 0, False, 1), (1, 2, 0, True, 0), (2, 1, 0, False, 2)]
+    assert adjacent(stream, idle=60_000).isStreaming
