@@ -324,3 +324,88 @@ def math_hash_fnv(spark: SparkSession, sf: str) -> DataFrame:
 def json_serialize(spark: SparkSession, sf: str) -> DataFrame:
     """Rows as JSON objects, keys in the order of the columns (sink_json)."""
     return B.figures(spark, sf).select(F.to_json(F.struct("revision_id", "figure_index", "content_hash", (F.col("bounds.width") > 35).alias("is_large"))).alias("row"))
+
+
+# --- edit walks and greedy matching, as recursive SQL ------------------------------------------------------------------------
+
+GAPLESS = "({t}[1] in ('.', ',', ';', ':', '!', '?', '%', ')', ']', '}}', '''', '’') or right({p}, 1) in ('(', '[', '{{', '''', '’'))"
+WALK = f"""with recursive {TOKENS}, sized as (select *, len(b) as n, len(a) as m from t),
+hits as (select *, list_transform(b, lambda x: list_transform([list_filter(range(1, m + 1), lambda i: a[i] = x)], lambda f: list_transform(range(1, m + 2), lambda j: coalesce(list_min(list_filter(f, lambda i: i >= j)), 0)))[1]) as h from sized),
+tables as (select set_id, edge_index, n, m, b, a, before, after, list_reduce(list_prepend([list_transform(range(m + 1), lambda i: 0::bigint)], list_transform(list_reverse(h), lambda r: [r])),
+  lambda acc, e: list_prepend(list_transform(range(1, m + 2), lambda j: greatest(acc[1][j], case when e[1][j] > 0 then acc[1][e[1][j] + 1] + 1 else 0 end)), acc)) as c from hits),
+walk as (select set_id, edge_index, 0::bigint as step, 0::bigint as i, 0::bigint as j, '' as op from tables union all
+  select w.set_id, w.edge_index, step + 1, i + case when op_ in ('=', '-') then 1 else 0 end, j + case when op_ in ('=', '+') then 1 else 0 end, op_ from (
+    select w.*, case when i < n and j < m and b[i + 1] = a[j + 1] then '=' when i < n and (j = m or c[i + 2][j + 1] >= c[i + 1][j + 2]) then '-' else '+' end as op_
+    from walk w join tables using (set_id, edge_index) where i < n or j < m) w),
+shown as (select set_id, edge_index, step, 'before' as side, case op when '=' then 'equal' else 'removed' end as kind, b[i] as token from walk join tables using (set_id, edge_index) where op in ('=', '-')
+  union all select set_id, edge_index, step, 'after', case op when '=' then 'equal' else 'added' end, a[j] from walk join tables using (set_id, edge_index) where op in ('=', '+')),
+lagged as (select *, lag(token) over p as last, lag(kind) over p as was from shown window p as (partition by set_id, edge_index, side order by step)),
+spaced as (select *, case when last is null or {GAPLESS.format(t='token', p='last')} then '' else ' ' end || token as part, sum(case when was = kind then 0 else 1 end) over (partition by set_id, edge_index, side order by step) as number from lagged),
+spans as (select set_id, edge_index, side, number, kind, string_agg(part, '' order by step) as text from spaced group by all),
+sides as (select set_id, edge_index, side, count(distinct kind) as kinds, string_agg(case kind when 'equal' then text else case when text[1] = ' ' then ' ' else '' end || case kind when 'added' then '{{+' else '[-' end || ltrim(text, ' ') ||
+  case kind when 'added' then '+}}' else '-]' end end, '' order by number) as marked, list(text order by number) filter (kind <> 'equal') as changed from spans group by all)"""
+
+
+def line_of(column: str) -> str:
+    return f"replace(replace({column}, chr(13), '\\n'), chr(10), '\\n')"
+
+
+@query(f"""{WALK} select t.set_id, t.edge_index, case when o.kinds = 2 then o.marked else {line_of('t.before')} end as before, case when w.kinds = 2 then w.marked else {line_of('t.after')} end as after,
+  coalesce(regexp_replace(list_reduce(o.changed, lambda l, r: {JOIN_SQL.format(l='l', r='r')}), '^[{WS}]+|[{WS}]+$', '', 'g'), '') as removed,
+  coalesce(regexp_replace(list_reduce(w.changed, lambda l, r: {JOIN_SQL.format(l='l', r='r')}), '^[{WS}]+|[{WS}]+$', '', 'g'), '') as added,
+  case when n < m and c[1][1] = n then 'added' when m < n and c[1][1] = m then 'removed' else 'modified' end as kind
+from tables t left join sides o on o.set_id = t.set_id and o.edge_index = t.edge_index and o.side = 'before' left join sides w on w.set_id = t.set_id and w.edge_index = t.edge_index and w.side = 'after'""")
+def str_inline_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Adjacent turns' inline diffs, the text that only one side has (str_changed_span), and the kind of edit (op_matched_change)."""
+
+    def row(a: str, b: str) -> list[dict]:
+        old, new = words.inline(a, b)
+        texts = {k: words.changed_text(a, b, k) for k in ("removed", "added")}
+        return [{"before": words.marked_line(a, old), "after": words.marked_line(b, new), **texts, "kind": words.edit_kind(a, b)}]
+
+    from .plans.compare import spread
+
+    return mapped(spread(turns(spark, sf), TURN_KEYS), TURN_KEYS, "before:string,after:string,removed:string,added:string,kind:string", row, "before", "after")
+
+
+FIGURE_ORDER = "l_linenumber, l_quantity, l_discount, l_suppkey % 7"
+
+
+@query(f"""with recursive figures as (select l_orderkey as revision_id, row_number() over (partition by l_orderkey order by {FIGURE_ORDER}) - 1 as k, (40 * l_linenumber)::double as x, (10 * l_quantity)::double as y,
+  (30 + 100 * l_discount)::double as w, 40::double as h, l_suppkey % 7 as hash from lineitem),
+revisions as (select distinct a.revision_id from figures a join figures b on b.revision_id = a.revision_id + 1),
+pairs as (select a.revision_id, a.k as i, b.k as j, a.x ax, a.y ay, a.w aw, a.h ah, b.x bx, b.y as by_, b.w bw, b.h bh, a.hash = b.hash as exact,
+  greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) as inter,
+  sqrt(power(a.x + a.w / 2 - b.x - b.w / 2, 2) + power(a.y + a.h / 2 - b.y - b.h / 2, 2)) as dist from figures a join figures b on b.revision_id = a.revision_id + 1),
+scored as (select *, {'0.65 * inter / least(aw * ah, bw * bh) + 0.2 * least(aw * ah, bw * bh) / greatest(aw * ah, bw * bh) + 0.15 * greatest(0, 1 - dist / 64)'} as score from pairs),
+near as (select f.revision_id, f.k as i, list(j order by dist, j) filter (exact) as same, list({{'j': j, 's': score}} order by score desc, j desc) filter ((inter / least(aw * ah, bw * bh) >= 0.2 or dist <= 64) and score >= 0.3) as slots
+  from figures f join revisions using (revision_id) left join scored p on p.revision_id = f.revision_id and p.i = f.k group by all),
+exact as (select revision_id, -1::bigint as i, []::bigint[] as used, null::bigint as j from revisions union all
+  select e.revision_id, n.i, case when free is null then used else list_append(used, free) end, free from (select e.*, n, list_filter(coalesce(n.same, []), lambda x: not list_contains(e.used, x))[1] as free
+    from exact e join near n on n.revision_id = e.revision_id and n.i = e.i + 1) e),
+done as (select revision_id, arg_max(used, i) as used from exact group by 1),
+slot as (select revision_id, -1::bigint as i, used, null::bigint as j, null::double as score from done union all
+  select s.revision_id, n.i, case when best is null then used else list_append(used, best.j) end, best.j, best.s from (select s.*, n, case when e.j is null then list_filter(coalesce(n.slots, []), lambda x: not list_contains(s.used, x.j))[1] end as best
+    from slot s join near n on n.revision_id = s.revision_id and n.i = s.i + 1 join exact e on e.revision_id = s.revision_id and e.i = s.i + 1) s),
+matches as (select revision_id, i, j, 1::double as confidence, true as exact from exact where j is not null union all select revision_id, i, j, score, false from slot where j is not null),
+boxed as (select m.revision_id, m.i, m.j, m.confidence, m.exact, p.* exclude (revision_id, i, j, exact) from matches m join scored p using (revision_id, i, j)),
+same as (select * from boxed where exact),
+told as (select b.revision_id, b.i, b.j, confidence, b.exact, case when not b.exact then 'modified' when exists (select 1 from same q where q.revision_id = b.revision_id and q.i <> b.i
+    and greatest(least(b.bx + b.bw, q.ax + q.aw) - greatest(b.bx, q.ax), 0) * greatest(least(b.by_ + b.bh, q.ay + q.ah) - greatest(b.by_, q.ay), 0) / least(b.bw * b.bh, q.aw * q.ah) >= 0.6
+    and greatest(least(q.bx + q.bw, b.ax + b.aw) - greatest(q.bx, b.ax), 0) * greatest(least(q.by_ + q.bh, b.ay + b.ah) - greatest(q.by_, b.ay), 0) / least(q.bw * q.bh, b.aw * b.ah) >= 0.6) then 'swapped' else 'moved' end as status
+  from boxed b where not (exact and abs(ax - bx) <= 1.5 and abs(ay - by_) <= 1.5 and abs(aw - bw) <= 1.5 and abs(ah - bh) <= 1.5)),
+rows_ as (select revision_id, status, confidence, case when exact then 0 else 1 end as part, i as at_ from told
+  union all select f.revision_id, 'removed', 1::double, 2, k from figures f join revisions using (revision_id) anti join matches m on m.revision_id = f.revision_id and m.i = f.k
+  union all select r.revision_id, 'added', 1::double, 3, k from figures f join revisions r on f.revision_id = r.revision_id + 1 anti join matches m on m.revision_id = r.revision_id and m.j = f.k)
+select revision_id, 'figure-' || row_number() over (partition by revision_id order by part, at_) as id, status, round(confidence, 6) as confidence from rows_""")
+def op_compare_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of each order against the next: identity, slot, swap, leftovers (join_figure_slot, set_union_figures)."""
+    from .operators.figures import Figure, compare
+    from .plans.compare import spread
+
+    order = lambda r: (r["figure_index"], r["bounds"]["y"], r["bounds"]["width"], r["content_hash"])
+    read = lambda rows: [Figure(Box(**r["bounds"]), r["content_hash"]) for r in sorted(rows or (), key=order)]
+    row = lambda a, b: [{"id": d.id, "status": d.status, "confidence": round(d.confidence, 6)} for d in compare(read(a), read(b))]
+    f = B.figures(spark, sf).groupBy("revision_id").agg(F.collect_list(F.struct("figure_index", "bounds", "content_hash")).alias("before"))
+    after = f.select((F.col("revision_id") - 1).alias("revision_id"), F.col("before").alias("after"))
+    return mapped(spread(f.join(after, "revision_id"), ("revision_id",)), ["revision_id"], "id:string,status:string,confidence:double", row, "before", "after")

@@ -668,25 +668,6 @@ def op_render_inline(spark: SparkSession, sf: str) -> DataFrame:
     return _rendered(spark, sf, True)
 
 
-@query()
-def op_compare_figures(spark: SparkSession, sf: str) -> DataFrame:
-    """Figures of each order against the next: identity, slot, swap, leftovers."""
-    from .functions.boxes import Box
-    from .operators.figures import Figure, compare
-    from .plans.compare import spread
-
-    kind = pa.list_(pa.struct([("id", pa.string()), ("status", pa.string()), ("confidence", pa.float64())]))
-    read = lambda rows: [Figure(Box(**r["bounds"]), r["content_hash"]) for r in sorted(rows.as_py() or (), key=lambda r: r["figure_index"])]
-
-    def run(before: pa.Array, after: pa.Array) -> pa.Array:
-        return pa.array([[{"id": d.id, "status": d.status, "confidence": round(d.confidence, 6)} for d in compare(read(a), read(b))] for a, b in zip(before, after, strict=True)], kind)
-
-    f = B.figures(spark, sf).groupBy("revision_id").agg(F.collect_list(F.struct("figure_index", "bounds", "content_hash")).alias("before"))
-    after = f.select((F.col("revision_id") - 1).alias("revision_id"), F.col("before").alias("after"))
-    udf = F.arrow_udf(run, "array<struct<id:string,status:string,confidence:double>>")
-    return spread(f.join(after, "revision_id"), ("revision_id",)).select("revision_id", F.explode(udf("before", "after")).alias("f")).select("revision_id", "f.*")
-
-
 def _sets(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation's adjacent turns compared as revisions of a set."""
     from .plans.compare import compared
@@ -760,23 +741,4 @@ def sim_text(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("set_id", "edge_index", F.round(F.arrow_udf(run, "double")("before", "after"), 6).alias("similarity"))
 
 
-@query()
-def str_inline_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Adjacent turns' inline diffs, and the text that only one side has (str_changed_span)."""
-    from .functions import words
-    from .plans.compare import spread
-
-    kind = "struct<before:string,after:string,removed:string,added:string,kind:string>"
-
-    def run(before: pa.Array, after: pa.Array) -> pa.Array:
-        rows = []
-        for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True):
-            old, new = words.inline(a, b)
-            rows.append({"before": words.marked_line(a, old), "after": words.marked_line(b, new), "removed": words.changed_text(a, b, "removed"), "added": words.changed_text(a, b, "added"), "kind": words.edit_kind(a, b)})
-        return pa.array(rows, pa.struct([(n, pa.string()) for n in ("before", "after", "removed", "added", "kind")]))
-
-    e = spread(B.turn_edges(B.table(spark, sf, "conversations")), ("set_id", "edge_index"))
-    return e.select("set_id", "edge_index", F.arrow_udf(run, kind)("before", "after").alias("d")).select("set_id", "edge_index", "d.*")
-
-
 from . import page_queries, verdict_queries  # noqa: E402,F401  register their queries
