@@ -313,6 +313,19 @@ def win_hunks(spark: SparkSession, sf: str) -> DataFrame:
     return hunks(z.select("from_id", "k", (~F.col("z.b").eqNullSafe(F.col("z.a"))).alias("hit")), ["from_id"], "k", "hit", 3)
 
 
+@query(f"""with {EDGES}, b as (select from_id, unnest(ls) as bt, unnest(range(len(ls))) as k from (select from_id, string_split(before, chr(10)) as ls from edges)),
+a as (select from_id, unnest(ls) as at_, unnest(range(len(ls))) as k from (select from_id, string_split(after, chr(10)) as ls from edges)),
+changed as (select from_id, k::int as k, row_number() over (partition by from_id order by k) as n from b full join a using (from_id, k) where bt is distinct from at_)
+select from_id, k, n::int as n from changed where n <= 16""")
+def lim_changes_viewer(spark: SparkSession, sf: str) -> DataFrame:
+    """The first sixteen changes of an edge, by position, as the inspector lists them."""
+    e = B.next_id_edges(B.documents(spark, sf))
+    z = F.arrays_zip(F.split("before", "\n").alias("b"), F.split("after", "\n").alias("a"))
+    ranked = F.transform(z, lambda p, k: F.struct(k.alias("k"), (~p.b.eqNullSafe(p.a)).alias("hit")))
+    first = F.slice(F.filter(ranked, lambda p: p.hit), 1, review.MOST_LISTED)
+    return e.select("from_id", F.posexplode(first).alias("n", "p")).select("from_id", F.col("p.k").alias("k"), (F.col("n") + 1).alias("n"))
+
+
 @query(f"with {DOCS} select min(doc_id) as first, count(*) as copies from docs group by text")
 def math_hash_fnv(spark: SparkSession, sf: str) -> DataFrame:
     """Content known by 64 bits that are only compared: each class of equal texts."""

@@ -313,6 +313,11 @@ def text_changes(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pages.select(*keys, "pair_index", F.posexplode("changes").alias("change_ordinal", "c")).select(*keys, "pair_index", "change_ordinal", "c.*")
 
 
+def listed_changes(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The changes that the inspector lists: the first of each page."""
+    return text_changes(pages, keys).filter(F.col("change_ordinal") < review.MOST_LISTED)
+
+
 def text_blocks(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pages.select(*keys, "pair_index", "before_page", "after_page", F.posexplode("blocks").alias("block_ordinal", "b")).select(*keys, "pair_index", "before_page", "after_page", "block_ordinal", "b.*")
 

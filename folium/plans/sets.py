@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from .compare import HUNKS, documents
 
 #: Wire names as the keys of added text spell them (fixed values).
 STRUCTURE_NAMES = {"paragraph": "Paragraph", "list-item": "ListItem", "table-row": "TableRow"}
@@ -16,51 +19,55 @@ def edge_columns(set_col: str) -> list[str]:
     return [set_col, "edge_index", "from_revision", "to_revision", "from_ordinal", "to_ordinal"]
 
 
-def text_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
-    """One row per review block of an edge: its operation key, kind, and what anchors need.
+def operation(phase: int, order: Column, ordinal: Column, key: Column, source: Column, kind: Column, page: Column, **more: Column) -> Column:
+    """A change of one edge, as all three sources tell it; ``place`` orders the changes of a set."""
+    place = F.struct(F.col("edge_index"), order.cast("int").alias("order"), F.lit(phase).alias("phase"), F.col("pair_index"), ordinal.cast("int").alias("ordinal"))
+    none = {"structure": "string", "before_text": "string", "after_text": "string", "changed_pixels": "long", "hunks": HUNKS}
+    fields = {k: more.get(k, F.lit(None)).cast(t) for k, t in none.items()}
+    fields |= {"before_page": more.get("before_page", F.col("before_page")), "after_page": more.get("after_page", F.col("after_page")), "changed_lines": more.get("changed_lines", F.lit(0))}
+    own = {"place": place, "op_key": key, "source": source, "kind": kind, "page_index": page, "from_revision": F.col("from_revision"), "to_revision": F.col("to_revision"), "from_ordinal": F.col("from_ordinal"), "to_ordinal": F.col("to_ordinal")}
+    return F.struct(*[c.alias(k) for k, c in (own | fields).items()])
 
-    ``pages`` is a compared edge table with set_id, edge_index, from_revision, to_revision, and the revisions' ordinals.
-    """
-    edge = edge_columns(set_col)
-    b = pages.filter("status <> 'equal'").select(*edge, "pair_index", "before_page", "after_page", F.posexplode("blocks").alias("ordinal", "b"))
+
+def text_operations() -> Column:
+    """Of a page pair, an operation for each review block."""
+    shown = F.create_map(*[F.lit(x) for kv in STRUCTURE_NAMES.items() for x in kv])
     page = F.coalesce("before_page", "after_page", "pair_index")
-    shown = F.create_map(*[F.lit(x) for kv in STRUCTURE_NAMES.items() for x in kv])[F.col("b.structure")]
-    added = F.concat_ws(":", F.lit("text"), "to_revision", page, F.lit("added"), C.variant_key(F.coalesce("b.after_text", F.lit(""))), shown)
-    key = F.when(F.col("b.kind") == "added", added).otherwise(F.concat_ws(":", F.lit("text"), "from_revision", page, F.col("b.id")))
-    return b.select(
-        *edge, "pair_index", F.lit(0).alias("phase"), "ordinal", key.alias("op_key"), F.lit("text").alias("source"), F.col("b.kind").alias("kind"), page.alias("page_index"),
-        F.col("b.structure").alias("structure"), "before_page", "after_page", F.col("b.before_text").alias("before_text"), F.col("b.after_text").alias("after_text"),
-        F.col("b.changed_lines").alias("changed_lines"), F.lit(None).cast("long").alias("changed_pixels"), F.col("b.hunks").alias("hunks"),
-    )
 
+    def one(b: Column, k: Column) -> Column:
+        added = F.concat_ws(":", F.lit("text"), "to_revision", page, F.lit("added"), C.variant_key(F.coalesce(b["after_text"], F.lit(""))), shown[b["structure"]])
+        key = F.when(b["kind"] == "added", added).otherwise(F.concat_ws(":", F.lit("text"), "from_revision", page, b["id"]))
+        texts = {n: b[n] for n in ("structure", "before_text", "after_text", "changed_lines", "hunks")}
+        return operation(0, F.lit(-1), k, key, F.lit("text"), b["kind"], page, **texts)
+
+    return F.transform(F.coalesce("blocks", F.array()), one)
 
-def figure_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
-    edge = edge_columns(set_col)
-    f = pages.filter("status <> 'equal'").select(*edge, "pair_index", "before_page", "after_page", F.posexplode("figures").alias("ordinal", "f"))
-    owner = F.when(F.col("f.status") == "added", F.col("to_revision")).otherwise(F.col("from_revision"))
-    return f.select(
-        *edge, "pair_index", F.lit(1).alias("phase"), "ordinal", F.concat_ws(":", F.lit("figure"), owner, "pair_index", "f.id").alias("op_key"), F.lit("figure").alias("source"),
-        F.col("f.status").alias("kind"), F.coalesce("before_page", "after_page", "pair_index").alias("page_index"), F.lit(None).cast("string").alias("structure"), F.coalesce("before_page", "pair_index").alias("before_page"),
-        F.coalesce("after_page", "pair_index").alias("after_page"), F.lit(None).cast("string").alias("before_text"), F.lit(None).cast("string").alias("after_text"), F.lit(0).alias("changed_lines"), F.lit(None).cast("long").alias("changed_pixels"),
-    )
+
+def figure_operations() -> Column:
+    """Of a page pair, an operation for each figure."""
+
+    def one(f: Column, k: Column) -> Column:
+        owner = F.when(f["status"] == "added", F.col("to_revision")).otherwise(F.col("from_revision"))
+        key = F.concat_ws(":", F.lit("figure"), owner, "pair_index", f["id"])
+        pages = {"before_page": F.coalesce("before_page", "pair_index"), "after_page": F.coalesce("after_page", "pair_index")}
+        return operation(1, F.col("pair_index"), k, key, F.lit("figure"), f["status"], F.coalesce("before_page", "after_page", "pair_index"), **pages)
+
+    return F.transform(F.coalesce("figures", F.array()), one)
 
 
 def page_kind(status: Column) -> Column:
     return F.when(status == "inserted", "added").when(status == "deleted", "removed").when(status == "moved", "moved").otherwise("visual")
 
 
-def page_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
-    """Inserted, deleted and moved pages; modified ones only without text rows and figures."""
-    edge = edge_columns(set_col)
+def page_operation() -> Column:
+    """Of a page pair, one operation if it is inserted, deleted or moved, or modified without text rows and figures."""
     silent = (F.coalesce(F.size("blocks"), F.lit(0)) <= 0) & (F.coalesce(F.size("figures"), F.lit(0)) <= 0)
-    p = pages.filter(F.col("status").isin("inserted", "deleted", "moved") | ((F.col("status") == "modified") & silent)).withColumn("kind", page_kind(F.col("status")))
-    owner = F.when(F.col("status") == "inserted", F.col("to_revision")).otherwise(F.col("from_revision"))
+    status, kind = F.col("status"), page_kind(F.col("status"))
+    owner = F.when(status == "inserted", F.col("to_revision")).otherwise(F.col("from_revision"))
     page = F.coalesce("after_page", "before_page", "pair_index")
-    return p.select(
-        *edge, "pair_index", F.lit(2).alias("phase"), F.lit(0).alias("ordinal"), F.concat_ws(":", F.lit("page"), owner, page, "kind").alias("op_key"),
-        F.when(F.col("kind") == "visual", "visual").otherwise("page").alias("source"), "kind", page.alias("page_index"), F.lit(None).cast("string").alias("structure"), "before_page", "after_page",
-        F.lit(None).cast("string").alias("before_text"), F.lit(None).cast("string").alias("after_text"), F.lit(0).alias("changed_lines"), F.col("changed_pixels").cast("long").alias("changed_pixels"),
-    )
+    source = F.when(kind == "visual", "visual").otherwise("page")
+    one = operation(2, F.col("pair_index"), F.lit(0), F.concat_ws(":", F.lit("page"), owner, page, kind), source, kind, page, changed_pixels=F.col("changed_pixels"))
+    return F.filter(F.array(one), lambda _: status.isin("inserted", "deleted", "moved") | ((status == "modified") & silent))
 
 
 def state(kind: Column) -> Column:
@@ -70,58 +77,69 @@ def state(kind: Column) -> Column:
 def change_operations(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
     """op_key, id, kind, source, page_index, structure, anchors, variants, comparisons, visual evidence per operation.
 
+    ``pages`` is a compared edge table with set_id, edge_index, from_revision, to_revision, and the revisions' ordinals.
     The first row of a key, by edge, source and place, gives source, page and number; kinds that differ diverge; the
     first anchor of each revision counts; the latest edge's visual evidence counts; one comparison per edge. Anchors
     stand in the order of the revisions; variants (anchor texts that aren't blank, told apart by their normalised form)
     in the order in which they were first seen, each with its revisions and anchors.
+
+    All rows of a set meet in one shuffle; a set has at most 64 revisions.
     """
     if "from_ordinal" not in pages.columns:  # edges of neighbours, unless they say otherwise
         pages = pages.withColumn("from_ordinal", F.col("edge_index")).withColumn("to_ordinal", F.col("edge_index") + 1)
-    rows = text_operations(pages, set_col)
-    for more in (figure_operations, page_operations):
-        rows = rows.unionByName(more(pages, set_col), allowMissingColumns=True)
-    place = F.struct("edge_index", F.when(F.col("phase") == 0, -1).otherwise(F.col("pair_index")), "phase", "pair_index", "ordinal")
-    rows = rows.withColumn("place", place)
-    ops = rows.groupBy(set_col, "op_key").agg(
-        F.min("place").alias("place"), F.min_by("source", "place").alias("source"), F.min_by("page_index", "place").alias("page_index"),
-        C.merged_kind(F.col("kind")).alias("kind"), F.min_by("structure", F.when(F.col("structure").isNotNull(), F.col("place"))).alias("structure"),
-        F.count_distinct("edge_index").alias("comparisons"), F.array_sort(F.collect_list(F.struct("place", "from_revision", "to_revision", "hunks"))).alias("evidence"), F.sum("changed_lines").alias("changed_lines"), F.max_by("changed_pixels", F.when(F.col("changed_pixels").isNotNull(), F.col("place"))).alias("changed_pixels"),
+    every = pages.filter("status <> 'equal'").select(set_col, F.explode(F.concat(text_operations(), figure_operations(), page_operation())).alias("o"))
+    ops = every.repartition(set_col).groupBy(set_col, F.col("o.op_key").alias("op_key")).agg(F.array_sort(F.collect_list("o"), by_place).alias("rows"))
+    number = F.row_number().over(Window.partitionBy(set_col).orderBy(F.col("rows")[0]["place"]))
+    named = ops.withColumn("id", F.concat(F.lit("change-"), number)).withColumn("seen", first_anchors(F.col("rows")))
+    named = named.withColumn("seen", F.transform("seen", lambda a: a.withField("anchor_id", F.concat("id", F.lit(":anchor:"), a["revision_id"]))))
+    r = F.col("rows")
+    some = lambda name: F.filter(F.transform(r, lambda x: x[name]), lambda x: x.isNotNull())
+    listed = F.transform("seen", lambda a: F.struct(*[a[n].alias(n) for n in ("ordinal", "revision_id", "anchor_id", "state", "page_index", "text")]))
+    out = named.select(
+        set_col, "op_key", "id", r[0]["place"].alias("place"), r[0]["source"].alias("source"), r[0]["page_index"].alias("page_index"),
+        F.when(F.size(F.array_distinct(r["kind"])) == 1, r[0]["kind"]).otherwise("diverged").alias("kind"), F.get(some("structure"), F.lit(0)).alias("structure"),
+        F.size(F.array_distinct(F.transform(r, lambda x: x["place"]["edge_index"]))).alias("comparisons"), F.transform(r, lambda x: F.struct(*[x[n].alias(n) for n in ("place", "from_revision", "to_revision", "hunks")])).alias("evidence"),
+        F.aggregate(r, F.lit(0).cast("long"), lambda n, x: n + x["changed_lines"]).alias("changed_lines"), F.try_element_at(some("changed_pixels"), F.lit(-1)).alias("changed_pixels"),
+        F.array_sort(listed).alias("anchors"), variants(F.col("seen"), F.col("id")).alias("variants"),
     )
-    number = F.row_number().over(Window.partitionBy(set_col).orderBy("place"))
     shown = F.row_number().over(Window.partitionBy(set_col).orderBy(F.col("page_index").asc_nulls_last(), "place"))
-    named = ops.withColumn("id", F.concat(F.lit("change-"), number)).withColumn("op_ordinal", shown)
-    first = first_anchors(rows, set_col).join(named.select(set_col, "op_key", F.col("id").alias("op_id")), [set_col, "op_key"])
-    first = first.withColumn("anchor_id", F.concat("op_id", F.lit(":anchor:"), "revision_id"))
-    listed = first.groupBy(set_col, "op_key").agg(F.array_sort(F.collect_list(F.struct("ordinal", "revision_id", "anchor_id", "state", "page_index", "text"))).alias("anchors"))
-    out = named.join(listed, [set_col, "op_key"]).join(variants(first, set_col), [set_col, "op_key"], "left")
-    return out.withColumn("variants", F.coalesce("variants", F.array().cast(out.schema["variants"].dataType))).drop("place")
-
-
-def first_anchors(rows: DataFrame, set_col: str) -> DataFrame:
-    """The first anchor that each revision has in an operation."""
-    side = lambda who, page, text, at: F.struct(F.col(f"{who}_revision").alias("revision_id"), F.col(f"{who}_ordinal").alias("ordinal"), F.col("place").alias("place"), F.lit(at).alias("side"), state(F.col("kind")).alias("state"), F.col(page).alias("page_index"), F.col(text).alias("text"))
-    both = F.array(F.when(F.col("kind") != "added", side("from", "before_page", "before_text", 0)), F.when(F.col("kind") != "removed", side("to", "after_page", "after_text", 1)))
-    a = rows.select(set_col, "op_key", F.explode(F.filter(both, lambda a: a.isNotNull())).alias("a"))
-    seen = F.struct("a.place", "a.side")
-    g = a.groupBy(set_col, "op_key", F.col("a.revision_id").alias("revision_id"))
-    return g.agg(F.min_by(F.struct("a.ordinal", "a.state", "a.page_index", "a.text"), seen).alias("a"), F.min(seen).alias("seen")).select(set_col, "op_key", "revision_id", "seen", "a.*")
-
-
-def variants(anchors: DataFrame, set_col: str) -> DataFrame:
-    """The different texts of each operation's anchors: as first written, with revisions and anchors in order of sight."""
-    t = anchors.filter(C.squeezed(F.col("text")) != "").withColumn("key", C.variant_key(F.col("text")))
-    members = F.array_sort(F.collect_list(F.struct("seen", "revision_id", "anchor_id")))
-    v = t.groupBy(set_col, "op_key", "op_id", "key").agg(F.min("seen").alias("seen"), F.min_by("text", "seen").alias("text"), members.alias("m"))
-    name = F.concat("op_id", F.lit(":variant-"), F.row_number().over(Window.partitionBy(set_col, "op_key").orderBy("seen")))
-    v = v.withColumn("id", name).withColumn("revision_ids", F.col("m.revision_id")).withColumn("anchor_ids", F.col("m.anchor_id"))
-    g = v.groupBy(set_col, "op_key").agg(F.array_sort(F.collect_list(F.struct("seen", "id", "text", "revision_ids", "anchor_ids"))).alias("v"))
-    return g.select(set_col, "op_key", F.transform("v", lambda x: F.struct(x.id.alias("id"), x.text.alias("text"), x.revision_ids.alias("revision_ids"), x.anchor_ids.alias("anchor_ids"))).alias("variants"))
+    return out.withColumn("op_ordinal", shown).drop("place")
+
+
+def by_place(a: Column, b: Column) -> Column:
+    return F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)
+
+
+def first_anchors(rows: Column) -> Column:
+    """Of an operation's rows in order, the first anchor of each revision, in the order of sight."""
+
+    def sides(x: Column) -> Column:
+        side = lambda who, page, text: F.struct(x[f"{who}_revision"].alias("revision_id"), x[f"{who}_ordinal"].alias("ordinal"), state(x["kind"]).alias("state"), x[page].alias("page_index"), x[text].alias("text"))
+        both = F.array(F.when(x["kind"] != "added", side("from", "before_page", "before_text")), F.when(x["kind"] != "removed", side("to", "after_page", "after_text")))
+        return F.filter(both, lambda a: a.isNotNull())
+
+    return once(F.flatten(F.transform(rows, sides)), lambda a: a["revision_id"])
+
+
+def once(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The items whose key no earlier one has."""
+    return F.filter(items, lambda a, k: F.array_position(F.transform(items, key), key(a)) == k + 1)
+
+
+def variants(anchors: Column, op_id: Column) -> Column:
+    """The different texts of an operation's anchors, as first written, with their revisions and anchors in order of sight."""
+    key = lambda a: C.variant_key(a["text"])
+    told = F.filter(anchors, lambda a: a["text"].isNotNull() & (C.squeezed(a["text"]) != ""))
+
+    def one(v: Column, k: Column) -> Column:
+        own = F.filter(told, lambda a: key(a) == key(v))
+        return F.struct(F.concat(op_id, F.lit(":variant-"), (k + 1).cast("string")).alias("id"), v["text"].alias("text"), F.transform(own, lambda a: a["revision_id"]).alias("revision_ids"), F.transform(own, lambda a: a["anchor_id"]).alias("anchor_ids"))
+
+    return F.transform(once(told, key), one)
 
 
 def comparisons(pages: DataFrame, set_col: str = "set_id") -> DataFrame:
     """Per edge: equal, changed pages, changed lines, truncated, pages of both revisions."""
-    from .compare import documents
-
     return documents(pages, edge_columns(set_col))
 
 

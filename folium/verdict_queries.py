@@ -152,15 +152,14 @@ select k1 as set_id, md5(key) as variant, count(*) as anchors, string_agg(turn::
 def agg_variants(spark: SparkSession, sf: str) -> DataFrame:
     """The different texts of a set whose every turn is an anchor of one operation, in the order of sight."""
     from .functions import columns as C
-    from .plans.sets import edge_columns, first_anchors, variants
+    from .plans.sets import first_anchors, variants
 
     e = B.turn_edges(B.table(spark, sf, "conversations"))
-    place = F.struct("edge_index", F.lit(-1).alias("page"), F.lit(0).alias("phase"), F.lit(0).alias("pair_index"), F.lit(0).alias("ordinal"))
-    rows = e.select(
-        "set_id", "edge_index", F.col("from_turn").cast("string").alias("from_revision"), F.col("to_turn").cast("string").alias("to_revision"),
-        F.col("edge_index").alias("from_ordinal"), (F.col("edge_index") + 1).alias("to_ordinal"), F.col("before").alias("before_text"), F.col("after").alias("after_text"),
+    row = F.struct(
+        "edge_index", F.lit("modified").alias("kind"), F.col("from_turn").cast("string").alias("from_revision"), F.col("to_turn").cast("string").alias("to_revision"), F.col("edge_index").alias("from_ordinal"),
+        (F.col("edge_index") + 1).alias("to_ordinal"), F.lit(0).alias("before_page"), F.lit(0).alias("after_page"), F.col("before").alias("before_text"), F.col("after").alias("after_text"),
     )
-    rows = rows.select(*edge_columns("set_id"), F.lit("all").alias("op_key"), F.lit("modified").alias("kind"), F.lit(0).alias("before_page"), F.lit(0).alias("after_page"), "before_text", "after_text", place.alias("place"))
-    a = first_anchors(rows, "set_id").withColumn("op_id", F.lit("change-1")).withColumn("anchor_id", F.concat(F.lit("change-1:anchor:"), "revision_id"))
-    v = variants(a, "set_id").select("set_id", F.posexplode("variants").alias("k", "v"))
+    g = e.groupBy("set_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("seen", first_anchors(F.col("rows")))
+    seen = F.transform("seen", lambda a: a.withField("anchor_id", F.concat(F.lit("change-1:anchor:"), a["revision_id"])))
+    v = g.withColumn("seen", seen).select("set_id", F.posexplode(variants(F.col("seen"), F.lit("change-1"))).alias("k", "v"))
     return v.select("set_id", F.md5(C.variant_key(F.col("v.text"))).alias("variant"), F.size("v.anchor_ids").alias("anchors"), F.concat_ws(",", "v.revision_ids").alias("revisions"), (F.col("k") + 1).alias("number"))
