@@ -17,7 +17,7 @@ from ..functions import columns as C
 PAGE = (612.0, 152.0)
 LINES = 8
 #: Ids of one range, whose texts meet in one task; and how many copies make an opening hot, which is then dealt by range.
-IDS = 1000
+IDS = 100
 HOT, MOST_HOT = 10_000, 100_000
 
 
@@ -55,12 +55,13 @@ def next_id_edges(docs: DataFrame) -> DataFrame:
 
 def copy_edges(docs: DataFrame) -> DataFrame:
     """from_id, to_id, before, after: each document and the one before it, by id, that has the same first line."""
-    rows = docs.filter("doc_id is not null").withColumn("opening", F.substring_index("text", "\n", 1))
-    hot = max(HOT, docs.count() // MOST_HOT)
+    rows = docs.filter("doc_id is not null").withColumn("opening", F.sha2(F.substring_index("text", "\n", 1), 256))  # a line may be the whole text
+    every = docs.count()
+    hot = max(HOT, every // MOST_HOT)
     cells = rows.withColumn("cell", F.lit(0).cast("long"))
     ids = rows.select("opening", "doc_id")
     many = ids.groupBy("opening").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(F.xxhash64("opening").alias("h"))
-    if not many.isEmpty():
+    if every > hot and not many.isEmpty():
         # a hot opening is dealt by ranges of ids; the last id of a range stands in the next one as well
         many = F.broadcast(many)  # at most MOST_HOT rows
         cell = lambda rows: rows.withColumn("h", F.xxhash64("opening")).join(many.withColumn("is_hot", F.lit(True)), "h", "left").withColumn("cell", F.when(F.col("is_hot"), F.floor(F.col("doc_id") / hot)).otherwise(0)).drop("h", "is_hot")
