@@ -29,8 +29,8 @@ def variant_key(text: Column) -> Column:
 def role_key(text: Column) -> Column:
     """Digit runs as #; the spaces before the numbers of a row of numbers move behind the row."""
     t = F.regexp_replace(squeezed(text), "[0-9]+", NUMBER)
-    t = F.regexp_replace(t, f"((?: *{NUMBER})* +{NUMBER}(?: *{NUMBER})*)", "$1 ")
-    t = F.regexp_replace(t, f" +{NUMBER}", NUMBER)
+    row = F.regexp_replace(F.regexp_replace(t, f"((?: *{NUMBER})* +{NUMBER}(?: *{NUMBER})*)", "$1 "), f" +{NUMBER}", NUMBER)
+    t = F.when(F.contains(t, F.lit(f" {NUMBER}")), row).otherwise(t)  # most lines have no number behind a space
     return F.lower(F.trim(F.regexp_replace(F.replace(t, F.lit(NUMBER), F.lit("#")), " +", " ")))
 
 
