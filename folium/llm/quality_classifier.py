@@ -14,6 +14,8 @@ empty result.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,12 +147,20 @@ class RuleModel:
         return 1 / (1 + np.exp(-(self.intercept + sum((w * holds(x, r) for w, r in self.rules), np.zeros(len(x))))))
 
     def column(self) -> Column:
-        """The score over columns named as FEATURES."""
-        parts = [f"cast({self.intercept!r} as double)"]
-        for w, rule in self.rules:
-            tests = " and ".join(f"{NAMES[f]} {'>' if above else '<='} cast({cut!r} as double)" for f, above, cut in rule)
-            parts.append(f"case when {tests} then cast({w!r} as double) else 0d end")
-        return F.expr(f"1d / (1d + exp(-({' + '.join(parts)})))")
+        """The score over columns named as FEATURES.
+
+        The rules are one array literal: a nested sum of them takes the driver memory by the square of their number.
+        """
+        rules = [{"w": w, "tests": [{"f": f + 1, "above": above, "cut": cut} for f, above, cut in rule]} for w, rule in self.rules]
+        kind = "array<struct<w: double, tests: array<struct<f: int, above: boolean, cut: double>>>>"
+        literal = F.from_json(F.lit(json.dumps(rules)), kind)
+
+        def total(x: Column) -> Column:
+            passes = lambda t: (F.element_at(x, t["f"]) > t["cut"]) == t["above"]
+            return F.aggregate(literal, F.lit(float(self.intercept)), lambda s, r: s + F.when(F.forall(r["tests"], passes), r["w"]).otherwise(F.lit(0.0)))
+
+        sums = F.transform(F.array(F.array(*NAMES)), total)  # a lambda's argument: the statistics are made once a row
+        return 1 / (1 + F.exp(-sums[0]))
 
 
 def sample(labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
