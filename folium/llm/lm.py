@@ -31,6 +31,7 @@ from __future__ import annotations
 import itertools
 import os
 import tempfile
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,6 +54,8 @@ SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 32
 HEAVY_WORDS = 200_000
 #: Distinct words that a worker counts before it hands them on.
 COUNT_WORDS = 1 << 20
+#: Tokens of a batch that are sorted or summed at a time, and pieces that are handed on at a time.
+STEP_TOKENS, STEP_PIECES = 1 << 17, 4
 END = b"\n"  # no word holds it
 #: Smoothed values (decimal logarithms) are kept in steps of 1 / STEPS from LOWEST on.
 STEPS, LOWEST = 2047.0, -16.0
@@ -264,67 +267,116 @@ class Cut:
         return (((x >> np.uint64(32)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
 
 
+def _ranges(ids: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
+    """Ranges of word numbers with some STEP_TOKENS tokens each; a word with more has all of its own in one."""
+    many = np.zeros(words, np.int64)
+    for a in range(0, len(ids), STEP_TOKENS):
+        many += np.bincount(ids[a : a + STEP_TOKENS], minlength=words)
+    cuts = np.searchsorted(np.cumsum(many), np.arange(STEP_TOKENS, len(ids) + STEP_TOKENS, STEP_TOKENS)) + 1
+    return itertools.pairwise([0, *np.unique(np.minimum(cuts, words)).tolist()])
+
+
 class Layout:
-    """The distinct pairs of a batch, by shard, then word; of token numbers (0: an end) and the hash of each number."""
-
-    def __init__(self, ids: np.ndarray, hashes: np.ndarray, cut: Cut):
-        self.ids, self.before = ids, np.r_[0, ids[:-1]]
-        pairs, self.pair = np.unique(ids * len(hashes) + self.before, return_inverse=True)
-        word, context = pairs // len(hashes), pairs % len(hashes)
-        shard = cut.shard(hashes[word], hashes[context])
-        order = np.argsort(shard, kind="stable")
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.arange(len(order))
-        self.word, self.context, self.shard = word[order], context[order], shard[order]
+    """The distinct pairs of a batch, by shard, then word; of token numbers (0: an end) and the hash of each number.
+
+    It is made of a range of words after another: sorted at once, a batch's tokens would take several times their memory.
+    With ``train`` it counts, for packing, the training tokens of each pair; without, it knows the place of each token's pair.
+    """
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray, cut: Cut, train: np.ndarray | None = None):
+        pair_of, at = np.empty(len(ids) if train is None else 0, np.uint32), 0
+        words, contexts, shards, many = [], [], [], []
+        for begin, end in _ranges(ids, len(hashes)):
+            here = np.flatnonzero((ids >= begin) & (ids < end))
+            before = ids[here - 1]
+            before[here == 0] = 0
+            pairs, pair = np.unique(ids[here].astype(np.int64) * len(hashes) + before, return_inverse=True)
+            word, context = pairs // len(hashes), pairs % len(hashes)
+            words.append(word.astype(np.uint32))
+            contexts.append(context.astype(np.uint32))
+            shards.append(cut.shard(hashes[word], hashes[context]).astype(np.uint32))
+            if train is None:
+                pair_of[here] = pair + at
+            else:
+                many.append(np.bincount(pair, train[here], len(pairs)).astype(np.uint32))
+            at += len(pairs)
+        order = np.argsort(np.concatenate(shards), kind="stable")
+
+        def dealt(parts: list[np.ndarray]) -> np.ndarray:
+            whole = np.concatenate(parts)
+            parts.clear()
+            return whole[order]
+
+        self.word, self.context, self.shard = dealt(words), dealt(contexts), dealt(shards)
+        if train is None:
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            for a in range(0, len(ids), STEP_TOKENS):
+                pair_of[a : a + STEP_TOKENS] = place[pair_of[a : a + STEP_TOKENS]]
+            self.place = pair_of
+        else:
+            self.many = dealt(many)
         #: where a word begins within its shard
         self.first = np.flatnonzero(np.r_[True, (self.word[1:] != self.word[:-1]) | (self.shard[1:] != self.shard[:-1])])
 
 
 def _squeeze(ids: np.ndarray) -> bytes:
-    return pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(squeezed: memoryview, tokens: int) -> np.ndarray:
+    plane = pa.decompress(pa.py_buffer(squeezed), 4 * tokens, codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(plane, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _pack_batch(batch: int, docs: list[tuple], ids: np.ndarray, index: dict[bytes, int], cut: Cut) -> pa.RecordBatch:
-    """One row per shard that has pairs of the batch; one of them, another for each batch, carries the batch itself."""
+    """One row per shard that has pairs of the batch; one of them, another for each batch, carries the batch itself. Empties the index."""
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
-    ends = ids == 0
-    train = np.array([d[1] for d in docs], np.int64)[np.cumsum(ends) - ends]
-    lay = Layout(ids, hashes, cut)
-    many = np.empty(len(lay.word), np.int64)
-    many[lay.place] = np.bincount(lay.pair, train, len(lay.word))
-    starts = np.flatnonzero(np.r_[True, lay.shard[1:] != lay.shard[:-1]])
-    low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    index.clear()
     meta = np.array([(d or 0, d is None, t) for d, t in docs], np.int64).tobytes()
     squeezed = _squeeze(ids)
     state = b"".join([np.array([len(ids), len(hashes), len(docs), len(squeezed)], np.int64).tobytes(), hashes.tobytes(), meta, squeezed])
+    del meta, squeezed
+    lay = Layout(ids, hashes, cut, np.repeat(np.array([t for _, t in docs], bool), np.diff(np.flatnonzero(ids == 0), prepend=-1)))
+    starts = np.flatnonzero(np.r_[True, lay.shard[1:] != lay.shard[:-1]])
+    low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     words = np.searchsorted(lay.first, np.r_[starts, len(lay.word)])
-    out, carrier = [], ((batch >> 32) + batch) % len(starts)
+    packed, sizes, carrier = bytearray(), [0], ((batch >> 32) + batch) % len(starts)
     for k, (a, b) in enumerate(itertools.pairwise(np.r_[starts, len(lay.word)].tolist())):
         first = lay.first[words[k] : words[k + 1]]
         head = np.array([len(first), b - a], np.uint32)
-        body = (head, hashes[lay.word[first]], np.diff(np.r_[first, b]).astype(np.uint32), low[lay.context[a:b]], many[a:b].astype(np.uint32))
-        out.append((int(lay.shard[a]), batch, b"".join(x.tobytes() for x in body), state if k == carrier else b""))
-    shard, number, packed, states = zip(*out, strict=True)
-    return _arrow(shard=(shard, pa.int32()), batch=(number, pa.int64()), packed=(packed, pa.binary()), state=(states, pa.binary()))
+        for x in (head, hashes[lay.word[first]], np.diff(np.r_[first, b]).astype(np.uint32), low[lay.context[a:b]], lay.many[a:b]):
+            packed += x.tobytes()
+        sizes.append(len(packed))
+    offsets = pa.array(sizes, pa.int32())
+    pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets.buffers()[1], pa.py_buffer(packed)])
+    states = [state if k == carrier else b"" for k in range(len(starts))]
+    return _arrow(shard=(lay.shard[starts].astype(np.int32), pa.int32()), batch=([batch] * len(starts), pa.int64()), packed=(pieces, pa.binary()), state=(states, pa.binary()))
 
 
 def _pack(cut: Cut, batch_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = itertools.count(TaskContext.get().partitionId() << 32)
         fresh = lambda: defaultdict(itertools.count(1).__next__, {END: 0})
-        docs, ids, held, index = [], [], 0, fresh()
+        docs, ids, index = [], array("I"), fresh()
+
+        def pieces() -> Iterator[pa.RecordBatch]:
+            out = _pack_batch(next(number), docs, np.frombuffer(ids, np.uint32), index, cut)
+            for k in range(0, out.num_rows, STEP_PIECES):
+                yield out.slice(k, STEP_PIECES)
+
         for batch in batches:
             for doc, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = text.as_py().lower().split()
-                if docs and held + len(found) >= batch_tokens:
-                    yield _pack_batch(next(number), docs, np.concatenate(ids).astype(np.int64), index, cut)
-                    docs, ids, held, index = [], [], 0, fresh()
+                if docs and len(ids) + len(found) >= batch_tokens:
+                    yield from pieces()
+                    docs, ids, index = [], array("I"), fresh()
                 found.append(END)
                 docs.append((doc, train))
-                ids.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)))
-                held += len(found)
+                ids.extend(map(index.__getitem__, found))
         if docs:
-            yield _pack_batch(next(number), docs, np.concatenate(ids).astype(np.int64), index, cut)
+            del batch, text  # the batch's texts are not needed any more
+            yield from pieces()
 
     return run
 
@@ -409,8 +461,7 @@ def _total(cut: Cut, total: int, distinct: int):
         state = next(x for x in group["state"] if x)
         tokens, words, docs, size = (int(x) for x in np.frombuffer(state, np.int64, 4))
         hashes, meta = np.frombuffer(state, np.uint64, words, 32), np.frombuffer(state, np.int64, 3 * docs, 32 + 8 * words).reshape(-1, 3)
-        plane = pa.decompress(state[-size:], 4 * tokens, codec="zstd", asbytes=True)
-        ids = np.ascontiguousarray(np.frombuffer(plane, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        ids = _unsqueeze(memoryview(state)[-size:], tokens)
         lay = Layout(ids, hashes, cut)
         counts, codes = np.zeros(words), np.empty(len(lay.word), np.uint16)
         at = pair = 0
@@ -423,17 +474,24 @@ def _total(cut: Cut, total: int, distinct: int):
             raise RuntimeError("a batch's answers do not fit its pairs")
         ends = np.flatnonzero(ids == 0)
         starts = np.r_[0, ends[:-1] + 1]
-        by_text = lambda x: np.add.reduceat(x, starts)
-        norm = np.log10(total + 0.1 * (distinct + 1))
+        known, base, under = counts > 0, np.log10(counts + 0.1) - np.log10(total + 0.1 * (distinct + 1)), np.log10(counts + MU)
+        n_known, base_score, score = np.empty(docs, np.int64), np.empty(docs), np.empty(docs)
+        steps = np.flatnonzero(np.diff(starts // STEP_TOKENS, prepend=-1))
+        for i, j in itertools.pairwise(np.r_[steps, docs].tolist()):  # whole texts, whose sums so do not depend on the steps
+            some = slice(starts[i], ends[j - 1] + 1)
+            by_text = lambda x: np.add.reduceat(x, starts[i:j] - starts[i])  # noqa: B023, E731
+            n_known[i:j] = by_text(known[ids[some]].astype(np.int64))
+            base_score[i:j] = by_text(base[ids[some]])
+            score[i:j] = by_text(value(codes[lay.place[some]]) - under[np.r_[0, ids[some][:-1]]])
         return pd.DataFrame(
             {
                 "doc_id": pd.arrays.IntegerArray(meta[:, 0].copy(), meta[:, 1] != 0),
                 "held_out": meta[:, 2] == 0,
                 "n_tokens": ends + 1 - starts,
-                "n_known": by_text((counts > 0)[ids].astype(np.int64)),
+                "n_known": n_known,
                 "train_tokens": np.full(docs, total),
-                "base_score": by_text((np.log10(counts + 0.1) - norm)[ids]),
-                "score": by_text(value(codes)[lay.place[lay.pair]] - np.log10(counts + MU)[lay.before]),
+                "base_score": base_score,
+                "score": score,
             }
         )
 

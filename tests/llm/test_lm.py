@@ -2,6 +2,7 @@ import collections
 import math
 import os
 import tempfile
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -78,3 +79,54 @@ def test_a_heavy_word_is_spread_and_pieces_are_few():
     assert before.max() > 3 * before.mean() and after.max() < 2 * after.mean()
     out = lm._pack_batch(0, [(5, True)], np.r_[ids[:3], 0], index, lm.Cut(10_000, *[np.empty(0, np.uint64)] * 3))
     assert out.num_rows <= 4
+
+
+def hard_batch(n, words=5000):
+    """Token numbers of texts with one very frequent word; as in a batch, every number occurs and the last token is an end."""
+    rng = np.random.default_rng(4)
+    ids = np.where(rng.random(n) < 0.3, 7, np.minimum(rng.zipf(1.2, n) - 1, words - 1)).astype(np.uint32)
+    ids[: words - 1], ids[-1] = np.arange(1, words), 0
+    return ids, rng.integers(0, 1 << 63, words).astype(np.uint64)
+
+
+@pytest.mark.parametrize("step", [1, 100, 1 << 18])
+def test_a_layout_in_steps_is_the_layout_at_once(monkeypatch, step):
+    monkeypatch.setattr(lm, "STEP_TOKENS", step)
+    ids, hashes = hard_batch(3000, 400)
+    train = np.random.default_rng(5).random(len(ids)) < 0.8
+    cut = lm.Cut(16, np.sort(hashes[7:8]), np.array([900]), np.array([8], np.uint64))
+    before = np.r_[0, ids[:-1]]
+    many = collections.Counter(zip(ids[train].tolist(), before[train].tolist(), strict=True))
+    of_shard = lambda p: int(cut.shard(hashes[[p[0]]], hashes[[p[1]]])[0])
+    want = sorted(set(zip(ids.tolist(), before.tolist(), strict=True)), key=lambda p: (of_shard(p), p))
+    lay = lm.Layout(ids, hashes, cut, train)
+    assert list(zip(lay.word.tolist(), lay.context.tolist(), strict=True)) == want
+    assert lay.shard.tolist() == [of_shard(p) for p in want] and lay.many.tolist() == [many[p] for p in want]
+    lay = lm.Layout(ids, hashes, cut)
+    assert (lay.word[lay.place] == ids).all() and (lay.context[lay.place] == before).all()
+
+
+def test_a_batch_takes_little_memory_beyond_its_tokens():
+    ids, hashes = hard_batch(1 << 21)
+    tracemalloc.start()
+    try:
+        lm.Layout(ids, hashes, lm.Cut(64, *[np.empty(0, np.uint64)] * 3))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 * len(ids)  # all tokens sorted at once took 41
+
+
+def test_pieces_are_handed_on_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(lm, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Now", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    rows = lm._arrow(d=(list(range(50)), "int64"), t=([True] * 50, "bool"), b=([f"w{k} w{k + 1} again again".encode() for k in range(50)], "binary"))
+    cut = lm.Cut(64, *[np.empty(0, np.uint64)] * 3)
+    out = list(lm._pack(cut, 100)(iter([rows])))
+    assert max(x.num_rows for x in out) <= 4 and len({b for x in out for b in x.column(1).to_pylist()}) == 3
+    pairs, carried = collections.Counter(), 0
+    for row in (r for x in out for r in x.to_pylist()):
+        words, per_word, contexts, many = lm._unpack(row["packed"])
+        pairs.update(dict(zip(zip(np.repeat(words, per_word).tolist(), contexts.tolist(), strict=True), many.tolist(), strict=True)))
+        carried += bool(row["state"])
+    h = lm.xxhash.xxh64_intdigest
+    assert carried == 3 and sum(pairs.values()) == 250 and pairs[h(b"again"), h(b"again") & 0xFFFFFFFF] == 50
